@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import language, packing, substring_dedup, token_counts, topk, warc
+from . import language, packing, substring_dedup, suffix_dedup, token_counts, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), width=50)
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
     "op4_substrings": op4_substrings,
+    "op5_suffixes": op5_suffixes,
     "op6_topk": op6_topk,
     "op7_token_counts": op7_token_counts,
     "op8_language": op8_language,
