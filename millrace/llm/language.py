@@ -134,7 +134,9 @@ def train(docs: DataFrame, label: str = "lang", rows_each: int = TRAINING_ROWS)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score, the probability of that language; only the text is read for it."""
+    """docs with lang_pred and score, the probability of that language; only the text is read for it. Columns of docs
+    with these names are replaced."""
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.withColumn("__text", F.col(text))
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -96,6 +96,15 @@ def _ranked(spans: str, kind: int) -> Column:
     return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
 
+def all_base_spans(text: Column) -> Column:
+    """The base spans of all kinds as kind rank, start and end."""
+
+    def of(kind: int) -> Column:
+        return F.transform(base_spans(text, KINDS[kind]), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+    return F.concat(*map(of, range(len(KINDS))))
+
+
 def _instances(text: Column) -> Column:
     """start, end, value and the word before, in lower case, of each token with a digit or at sign."""
     contexts = F.regexp_extract_all(text, F.lit(INSTANCE), F.lit(1))
