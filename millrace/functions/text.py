@@ -89,7 +89,7 @@ def without_carrier(text: Column) -> Column:
 
 
 def page_references(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(fixed.PAGE_REFERENCE), F.lit(1)), lambda x: x.cast("int"))
+    return F.transform(F.regexp_extract_all(text, F.lit(fixed.PAGE_REFERENCE), F.lit(1)), lambda x: x.try_cast("int"))
 
 
 def json_object(text: Column, how: str = "greedy") -> Column:
@@ -150,4 +150,4 @@ def first_match(text: Column, rules: list[tuple[str, str, int]]) -> Column:
 
 def edition(text: Column, letters: str = "edition|ed|e\\b") -> Column:
     found = F.regexp_extract(text, rf"(\d+)(?:st|nd|rd|th|e)?\s*(?:{letters})", 1)
-    return F.when(found != "", found.cast("int"))
+    return F.when(found != "", found.try_cast("int"))

@@ -275,7 +275,7 @@ def sized_chunks(whole: Column, cap: int = 2000, tail: int = 50) -> Column:
 
     def step(s: Column, line: Column) -> Column:
         page = F.regexp_extract(line, fixed.PAGE_MARKER, 1)
-        marked = F.struct(s["lines"].alias("lines"), s["size"].alias("size"), page.cast("int").alias("page"), s["out"].alias("out")).cast(state)
+        marked = F.struct(s["lines"].alias("lines"), s["size"].alias("size"), page.try_cast("int").alias("page"), s["out"].alias("out")).cast(state)
         one = F.transform(F.array(add(s, line)), cut)  # binds the grown state, which is used many times
         return F.when(page != "", marked).otherwise(F.element_at(one, 1))
 

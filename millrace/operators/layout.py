@@ -31,7 +31,7 @@ def thrust(spans: DataFrame) -> DataFrame:
     """doc and max_thrust: the first number with x0 > 530 and y0 > 160, where a span says Maximum, or Thrust far right."""
     said = F.col("text").contains("Maximum") | (F.col("text").contains("Thrust") & (F.col("x0") > 500))
     number = is_number() & (F.col("x0") > 530) & (F.col("y0") > 160)
-    return spans.groupBy("doc").agg(F.bool_or(said).alias("said"), F.min_by(F.when(number, F.col("text").cast("int")), F.when(number, F.col("seq"))).alias("max_thrust")).filter("said and max_thrust is not null").select("doc", "max_thrust")
+    return spans.groupBy("doc").agg(F.bool_or(said).alias("said"), F.min_by(F.when(number, F.col("text").try_cast("int")), F.when(number, F.col("seq"))).alias("max_thrust")).filter("said and max_thrust is not null").select("doc", "max_thrust")
 
 
 def armour(spans: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def armour(spans: DataFrame) -> DataFrame:
     spark = spans.sparkSession
     facings = F.broadcast(spark.createDataFrame(fixed.FACINGS, "facing string, x_min int, x_max int"))
     numbers = spans.filter(is_number() & (F.col("y0") > 15) & (F.col("y0") < 35)).join(facings, xc().between(F.col("x_min"), F.col("x_max")))
-    found = numbers.groupBy("doc", "facing").agg(F.min_by(F.col("text").cast("int"), "seq").alias("sf"))
+    found = numbers.groupBy("doc", "facing").agg(F.min_by(F.col("text").try_cast("int"), "seq").alias("sf"))
     every = spans.select("doc").distinct().join(facings.select("facing"))
     return every.join(found, ["doc", "facing"], "left").select("doc", "facing", F.coalesce("sf", F.lit(0)).alias("sf"))
 

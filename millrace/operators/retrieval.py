@@ -30,7 +30,7 @@ def without_repeats(docs: DataFrame, prefix: int = 200) -> DataFrame:
 def neighbours(hits: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     """hits with `expanded`: the text between those of chunks n - 1 and n + 1 of its file, without their carrier tags;
     the text alone where the id has no number. Joins, for numbers may have gaps."""
-    prefix, number = F.regexp_extract(key, r"^(.*)_chunk_(\d+)$", 1), F.regexp_extract(key, r"^(.*)_chunk_(\d+)$", 2).cast("int")
+    prefix, number = F.regexp_extract(key, r"^(.*)_chunk_(\d+)$", 1), F.regexp_extract(key, r"^(.*)_chunk_(\d+)$", 2).try_cast("int")
     placed = hits.withColumns({"__before": F.concat(prefix, F.lit("_chunk_"), (number - 1).cast("string")), "__after": F.concat(prefix, F.lit("_chunk_"), (number + 1).cast("string"))})
     other = lambda name: chunks.select(F.col(key).alias(f"__{name}"), text.without_carrier(F.col("text")).alias(f"__{name}_text"))
     both = placed.join(other("before"), "__before", "left").join(other("after"), "__after", "left")

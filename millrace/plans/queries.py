@@ -293,8 +293,8 @@ def own_index(spark, d) -> DataFrame:
             e AS (SELECT own AS rule, p_partkey, priority, false AS secondary FROM c UNION ALL SELECT concat(CAST(1 + p_partkey % 29 AS VARCHAR), '.', CAST(p_partkey % 90 + 2 AS VARCHAR)), p_partkey, priority, true FROM c),
             i AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY priority, p_partkey, secondary) AS rank FROM e),
             w AS (SELECT * FROM (VALUES ('5.5', 0), ('3.3', 1), ('9.10', 2)) t(rule, ord)),
-            f AS (SELECT p_partkey, min(ord * 1000000 + rank) AS at FROM i JOIN w USING (rule) WHERE rank <= 10 GROUP BY 1)
-            SELECT CAST(p_partkey AS VARCHAR) AS chunk_id, CAST(row_number() OVER (ORDER BY at, CAST(p_partkey AS VARCHAR)) AS INTEGER) AS pos FROM f ORDER BY pos LIMIT 20""")
+            f AS (SELECT p_partkey, min(ord * 1000000 + rank) AS spot FROM i JOIN w USING (rule) WHERE rank <= 10 GROUP BY 1)
+            SELECT CAST(p_partkey AS VARCHAR) AS chunk_id, CAST(row_number() OVER (ORDER BY spot, CAST(p_partkey AS VARCHAR)) AS INTEGER) AS pos FROM f ORDER BY pos LIMIT 20""")
 def rule_lookup(spark, d):
     wanted = spark.createDataFrame([("5.5", 0), ("3.3", 1), ("9.10", 2)], "rule string, ord int")
     return rule_index.lookup(own_index(spark, d), wanted, each=10, limit=20)
@@ -304,8 +304,8 @@ def rule_lookup(spark, d):
             e AS (SELECT own AS rule, p_partkey, priority, false AS secondary FROM c UNION ALL SELECT concat(CAST(1 + p_partkey % 29 AS VARCHAR), '.', CAST(p_partkey % 90 + 2 AS VARCHAR)), p_partkey, priority, true FROM c),
             i AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY priority, p_partkey, secondary) AS rank FROM e),
             q AS (SELECT p_partkey, text FROM r WHERE p_partkey BETWEEN 10 AND 16),
-            x AS (SELECT regexp_extract(text, '\[(\d+\.\d+)\]', 1) AS ref, p_partkey * 10 AS at FROM q UNION ALL SELECT regexp_extract(text, 'see (\d+\.\d+)', 1), p_partkey * 10 + 1 FROM q),
-            n AS (SELECT ref, min(at) AS at FROM x WHERE ref NOT IN ('1.10') GROUP BY ref ORDER BY at, ref LIMIT 5)
+            x AS (SELECT regexp_extract(text, '\[(\d+\.\d+)\]', 1) AS ref, p_partkey * 10 AS spot FROM q UNION ALL SELECT regexp_extract(text, 'see (\d+\.\d+)', 1), p_partkey * 10 + 1 FROM q),
+            n AS (SELECT ref, min(spot) AS spot FROM x WHERE ref NOT IN ('1.10') GROUP BY ref ORDER BY spot, ref LIMIT 5)
             SELECT ref, CAST(p_partkey AS VARCHAR) AS chunk_id FROM n JOIN i ON i.rule = n.ref WHERE rank = 1""")
 def xref_chase(spark, d):
     docs = rules(spark, d).filter(F.col("p_partkey").between(10, 16)).select(F.concat(F.lit("[Rule: 1.10]\n"), "text").alias("text"), F.col("p_partkey").alias("pos"))

@@ -14,7 +14,8 @@ def page_marked_texts(spark: SparkSession, folder: str, catalog: DataFrame | Non
     the catalog only, if given, without files whose cap is 0 pages."""
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     texts = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt").select(F.url_decode(name).alias("source_file"), F.col("value").alias("text"))
-    flags = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.duplicate").load(folder).select(F.regexp_replace(F.url_decode(F.element_at(F.split("path", "/"), -1)), r"\.duplicate$", "").alias("source_file"))
+    marks = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.duplicate").load(folder).inputFiles()  # empty files have no rows
+    flags = spark.createDataFrame([(x.rsplit("/", 1)[-1].removesuffix(".duplicate"),) for x in marks], "source_file string").select(F.url_decode("source_file").alias("source_file"))
     kept = texts.join(flags, "source_file", "left_anti")
     if catalog is None:
         return kept
@@ -29,14 +30,14 @@ def pages(docs: DataFrame) -> DataFrame:
     number = F.regexp_extract("part", r"^(\d+)", 1)
     each = docs.select("source_file", F.posexplode(parts).alias("k", "part"))
     body = F.when(F.col("k") > 0, F.regexp_replace("part", r"^[^\n]*\n?", "")).otherwise(F.col("part"))
-    return each.select("source_file", F.when(F.col("k") > 0, number.cast("int")).otherwise(1).alias("page"), F.trim(body).alias("text"), "k").filter("k > 0 or text <> ''").drop("k")
+    return each.select("source_file", F.when(F.col("k") > 0, number.try_cast("int")).otherwise(1).alias("page"), F.regexp_replace(body, r"(?U)^\s+|\s+$", "").alias("text"), "k").filter("k > 0 or text <> ''").drop("k")
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """source_file, line_no from 0, line and the page that the last marker before it names."""
     each = docs.select("source_file", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     marked = F.regexp_extract("line", r"^--- PAGE (\d+)", 1)
-    page = F.last(F.when(marked != "", marked.cast("int")), ignorenulls=True).over(Window.partitionBy("source_file").orderBy("line_no"))
+    page = F.last(F.when(marked != "", marked.try_cast("int")), ignorenulls=True).over(Window.partitionBy("source_file").orderBy("line_no"))
     return each.withColumn("page", F.coalesce(page, F.lit(1))).filter(marked == "")
 
 
