@@ -13,15 +13,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import even_keys, mix, pick, shuffle_partitions, worker_cache
 
 #: Bytes of input, as the plan estimates them, for each block at most.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes or words hashed at once.
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 _BASE = 0xD1342543DE82EF95
 _ASK = "bucket int, block int, at int, what int, blob binary"
@@ -79,6 +79,10 @@ def block_count(docs: DataFrame) -> int:
     return max(shuffle_partitions(docs.sparkSession), min(size, 1 << 50) // BLOCK_BYTES + 1)
 
 
+def bucket_count(spark: SparkSession, blocks: int) -> int:
+    return max(shuffle_partitions(spark), blocks // 2)
+
+
 def dealt(docs: DataFrame, index: Column, n: int) -> DataFrame:
     """docs with `block`, the block of that index, each block in a task of its own."""
     keys = even_keys(docs.sparkSession, n)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import text_bytes
-from .exchange import SLICE, Rolling, answered, ask, ask_again, block_count, byte_values, dealt, ordered, questions, replies
+from .exchange import SLICE, Rolling, answered, ask, ask_again, block_count, bucket_count, byte_values, dealt, ordered, questions, replies
 
 #: The bytes between words.
 SEPARATORS = np.zeros(256, bool)
@@ -75,11 +75,13 @@ class Block:
         self.starts, self.ends = word_bounds(self.body, self.offsets)
         #: of each document, its first word; and the end
         self.first = np.searchsorted(self.starts, self.offsets)
-        all_windows = window_hashes(word_hashes(self.body, self.starts, self.ends), width)
-        counts = np.maximum(np.diff(self.first) - width + 1, 0)
-        self.doc = np.repeat(np.arange(len(counts)), counts)
-        self.window = self.first[self.doc] + np.arange(len(self.doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-        self.hashes = all_windows[self.window] if len(self.window) else np.zeros(0, np.uint64)
+        hashes = window_hashes(word_hashes(self.body, self.starts, self.ends), width)
+        whole = np.ones(len(hashes), bool)
+        for end in self.first[1:-1]:
+            whole[max(0, end - width + 1) : end] = False
+        #: the first word of each window, and the window's fingerprint
+        self.window = np.flatnonzero(whole).astype(np.int32)
+        self.hashes = hashes[whole]
 
 
 def earlier(order: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -95,6 +97,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False) ->
     (spans, end exclusive) if with_text."""
     docs = docs.select("doc_id", "text")
     n = block_count(docs)
+    buckets = bucket_count(docs.sparkSession, n)
     marks = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0] if n > 1 else None
     marks = np.array(marks or [], np.int64)
 
@@ -109,7 +112,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False) ->
 
     def first(key, table):
         block = Block(table, width)
-        return questions(key[0].as_py(), table.column("at")[0].as_py(), n, np.unique(block.hashes))
+        return questions(key[0].as_py(), table.column("at")[0].as_py(), buckets, np.unique(block.hashes))
 
     fields = [docs.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     if with_text:
@@ -118,27 +121,27 @@ def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False) ->
     def last(key, table, answers):
         block = Block(table, width)
         codes, _ = replies(answers)
-        by = np.argsort(block.hashes, kind="stable")
-        sorted_ = block.hashes[by]
+        by = np.argsort(block.hashes, kind="stable").astype(np.int32)
         new = np.ones(len(by), bool)
-        new[1:] = sorted_[1:] != sorted_[:-1]
-        group = np.cumsum(new) - 1
+        new[1:] = np.diff(block.hashes[by]) != 0
+        group = np.cumsum(new, dtype=np.int32) - np.int32(1)
         ids = block.table.column("doc_id")
         values = ids.to_pylist()
-        rank = np.cumsum([False, *(a != b for a, b in zip(values[1:], values))])
-        own = rank[block.doc[by]]
+        rank = np.cumsum([False, *(a != b for a, b in zip(values[1:], values))], dtype=np.int32)
+        own = np.repeat(rank[: len(values)], np.diff(block.first))[block.window][by]
         repeated = np.zeros(len(by), bool)
-        repeated[by] = codes[group].astype(bool) | (own > own[new][group])
+        repeated[by] = (own > own[new][group]) | codes.astype(bool)[group]
+        del by, group, own, new
         # words under repeated windows
         change = np.zeros(len(block.starts) + 1, np.int32)
         at = block.window[repeated]
         np.add.at(change, at, 1)
         np.add.at(change, at + width, -1)
-        removed = np.cumsum(change[:-1]) > 0
+        removed = np.cumsum(change[:-1], dtype=np.int32) > 0
         kept, begin = kept_bytes(block.body, block.offsets, block.starts, block.ends, removed)
         view = memoryview(kept)
         texts = [view[a : b - (b > a and kept[b - 1] == 0x20)] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
-        so_far = np.concatenate([[0], np.cumsum(removed)])
+        so_far = np.concatenate([[0], np.cumsum(removed)])  # words
         columns = [ids, pa.array(np.diff(block.first)), pa.array(so_far[block.first[1:]] - so_far[block.first[:-1]]), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())]
         if with_text:
             spans = []
@@ -148,7 +151,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False) ->
             columns += [pa.array([bytes(t).decode() for t in texts], pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
         return pa.Table.from_arrays(columns, names=[f.name for f in fields])
 
-    answers = answered(ask(blocks, first), n, earlier, [np.uint64])
+    answers = answered(ask(blocks, first), buckets, earlier, [np.uint64])
     return ask_again(blocks, answers, last, T.StructType(fields))
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import mix, text_bytes
-from .exchange import SLICE, Rolling, answered, ask, ask_again, block_count, byte_values, dealt, ordered, planes, questions, replies, unplanes
+from .exchange import SLICE, Rolling, answered, ask, ask_again, block_count, bucket_count, byte_values, dealt, ordered, planes, questions, replies, unplanes
 
 GRAM = 8
 #: Codes of a group at the greatest anchor length: unique; repeated, but its range is not; its range is repeated; the
@@ -146,13 +146,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False)
         raise ValueError(f"the length is {length}, at least {2 * GRAM} is asked for")
     docs = docs.select("doc_id", "text")
     n = block_count(docs)
+    buckets = bucket_count(docs.sparkSession, n)
     blocks = dealt(docs, F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int"), n)
 
     def asks(block: Block, key, table, step: int, alive: np.ndarray, state: np.ndarray):
         """The questions of a round: 0 and 1 on anchors, 2 with the groups' ranges, 3 on single positions."""
         keys = keys_of(block, step, alive, state)
         _, own, many = classes(*keys)
-        return questions(key[0].as_py(), table.column("at")[0].as_py(), n, *own, many, state=planes(state))
+        return questions(key[0].as_py(), table.column("at")[0].as_py(), buckets, *own, many, state=planes(state))
 
     def keys_of(block: Block, step: int, alive: np.ndarray, state: np.ndarray) -> list[np.ndarray]:
         if step == 3:
@@ -220,8 +221,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False)
             columns += [pa.array([bytes(t) for t in texts], pa.binary()), pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
         return pa.Table.from_arrays(columns, names=[f.name for f in fields])
 
-    answers = answered(ask(blocks, first), n, repeated, [np.uint64, np.uint8])
-    answers = answered(ask_again(blocks, answers, again(1)), n, repeated, [np.uint64, np.uint8])
-    answers = answered(ask_again(blocks, answers, again(2)), n, sorted_out, [np.uint64, np.uint64, np.uint8])
-    answers = answered(ask_again(blocks, answers, again(3)), n, repeated, [np.uint64, np.uint8])
+    answers = answered(ask(blocks, first), buckets, repeated, [np.uint64, np.uint8])
+    answers = answered(ask_again(blocks, answers, again(1)), buckets, repeated, [np.uint64, np.uint8])
+    answers = answered(ask_again(blocks, answers, again(2)), buckets, sorted_out, [np.uint64, np.uint64, np.uint8])
+    answers = answered(ask_again(blocks, answers, again(3)), buckets, repeated, [np.uint64, np.uint8])
     return ask_again(blocks, answers, last, T.StructType(fields))
