@@ -44,19 +44,44 @@ LEAST_LENGTH, LEAST_DIGITS = 6, 4
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
+def _with(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _sum(lengths: Column) -> Column:
+    return F.aggregate(lengths, F.lit(0), lambda a, x: a + x)
+
+
 def _located(text: Column, pattern: str) -> Column:
-    """start, end and value of all matches: lengths of what lies between matches and of the matches add up."""
+    """start, end and value of all matches: lengths of what lies between matches and of the matches add up. Sums of
+    blocks of about sqrt(n) lengths keep the n prefix sums of a text of many matches from taking n * n steps."""
     between = F.transform(F.split(text, pattern, -1), F.char_length)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + F.char_length(x["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
+    def spans(m: Column) -> Column:
+        lengths = F.zip_with(F.slice(m["between"], 1, F.size(m["values"])), m["values"], lambda gap, value: gap + F.char_length(value))
+        width = F.ceil(F.sqrt(F.size(m["values"]))).cast("int")
+        return _with(F.struct(lengths.alias("l"), m["values"].alias("v"), width.alias("b")), blocked)
+
+    def blocked(m: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), ((F.size(m["l"]) - 1) / m["b"]).cast("int")), lambda k: _sum(F.slice(m["l"], k * m["b"] + 1, m["b"])))
+        return _with(F.struct(m["l"].alias("l"), m["v"].alias("v"), m["b"].alias("b"), sums.alias("s")), summed)
+
+    def summed(m: Column) -> Column:
+        before = F.transform(m["s"], lambda _, k: _sum(F.slice(m["s"], 1, k)))
+        return _with(F.struct(m["l"].alias("l"), m["v"].alias("v"), m["b"].alias("b"), before.alias("p")), placed)
+
+    def placed(m: Column) -> Column:
+        def one(value: Column, i: Column) -> Column:
+            block = (i / m["b"]).cast("int")
+            end = F.element_at(m["p"], block + 1) + _sum(F.slice(m["l"], block * m["b"] + 1, i - block * m["b"] + 1))
+            return F.struct((end - F.char_length(value)).alias("start"), end.alias("end"), value.alias("value"))
+
+        return F.transform(m["v"], one)
 
-    pairs = F.zip_with(F.slice(between, 1, F.size(values)), values, lambda gap, value: F.struct(gap.alias("gap"), value.alias("value")))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    none = F.array().cast(_SPANS)
+    return _with(F.struct(between.alias("between"), values.alias("values")), lambda m: F.when(F.size(m["values"]) > 0, spans(m)).otherwise(none))
 
 
 def _digits(value: Column) -> Column:
