@@ -20,6 +20,8 @@ from .common import even_keys, mix, pick, shuffle_partitions, worker_cache
 
 #: Bytes of input, as the plan estimates them, for each block at most.
 BLOCK_BYTES = 4 << 20
+#: Sources that don't know their size say at least so much.
+UNKNOWN_SIZE = 1 << 50
 #: Bytes or words hashed at once.
 SLICE = 1 << 20
 
@@ -75,8 +77,13 @@ def unplanes(data: bytes, dtype) -> np.ndarray:
 
 
 def block_count(docs: DataFrame) -> int:
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(shuffle_partitions(docs.sparkSession), min(size, 1 << 50) // BLOCK_BYTES + 1)
+    """Enough blocks for BLOCK_BYTES of input each: by the size of the files that the plan reads or, where a source does
+    not know its size, by the bytes of the texts themselves, counted."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size >= UNKNOWN_SIZE:
+        size = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2  # as Parquet would have it
+    return max(shuffle_partitions(docs.sparkSession), size // BLOCK_BYTES + 1)
 
 
 def bucket_count(spark: SparkSession, blocks: int) -> int:
