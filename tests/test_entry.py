@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+from decimal import Decimal
 
 import pytest
 
@@ -13,14 +14,16 @@ FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 
-def rows(frame):
+def rows(columns, found):
+    """Sorted rows, columns in order of name, numbers as rounded floats."""
+
     def plain(x):
-        if x is None or isinstance(x, float) and math.isnan(x):
-            return None
-        x = x.item() if hasattr(x, "item") else x
-        return round(float(x), 6) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+        if isinstance(x, (int, float, Decimal)) and not isinstance(x, bool):
+            return None if math.isnan(x) else round(float(x), 6)
+        return x if x is None else str(x)
 
-    return sorted((tuple(map(plain, r)) for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False)), key=repr)
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted((tuple(plain(r[i]) for i in order) for r in found), key=repr)
 
 
 @pytest.mark.parametrize("name", sorted(plans.ORACLE_SQL))
@@ -30,10 +33,11 @@ def test_query(spark, name):
     with duckdb.connect() as con:
         for path in glob.glob(f"{FOLDER}/*.parquet"):
             con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM read_parquet('{path}')")
-        want = con.execute(plans.ORACLE_SQL[name]).df()
-    got = plans.QUERIES[name](spark, FOLDER).toPandas()
-    assert sorted(got.columns) == sorted(want.columns)
-    assert rows(got) == rows(want)
+        con.execute(plans.ORACLE_SQL[name])
+        columns, want = [c[0] for c in con.description], con.fetchall()
+    got = plans.QUERIES[name](spark, FOLDER)
+    assert sorted(got.columns) == sorted(columns)
+    assert rows(got.columns, got.collect()) == rows(columns, want)
 
 
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE_SQL)))
