@@ -80,7 +80,7 @@ def listing_filters(query: Column) -> Column:
 def similar_text(a: Column, b: Column, threshold: float = 0.90) -> Column:
     """Whether two texts, white space made even and in lower case, are alike by the ratio of their matching blocks."""
 
-    @F.udf("boolean")
+    @F.udf(returnType="boolean", useArrow=True)
     def alike(x, y):
         from difflib import SequenceMatcher
 

@@ -455,10 +455,11 @@ def answer_documents(spark, d):
 
 
 @query()
-def near_duplicate_titles(spark, d):
-    part = read(spark, d, "part").select("p_partkey", "p_name", F.substring("p_name", 1, 6).alias("k"))
-    pairs = part.alias("a").join(part.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    return pairs.filter(providers.similar_text(F.col("a.p_name"), F.col("b.p_name"))).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"))
+def similar_turns(spark, d):
+    """Turns that are nearly the one before them."""
+    rows = read(spark, d, "conversations")
+    before = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
+    return rows.join(before, ["conv_id", "turn"]).filter(providers.similar_text(F.col("text"), F.col("before"))).select("conv_id", "turn")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
