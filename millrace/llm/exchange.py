@@ -65,7 +65,7 @@ def planes(x: np.ndarray) -> bytes:
     """An array's bytes, plane by plane, compressed."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
 
 
 def unplanes(data: bytes, dtype) -> np.ndarray:
@@ -73,7 +73,7 @@ def unplanes(data: bytes, dtype) -> np.ndarray:
 
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
     width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(raw.reshape(width, -1).T).view(dtype).ravel()
+    return np.ascontiguousarray(raw.reshape(width, len(raw) // width).T).view(dtype).ravel()
 
 
 def block_count(docs: DataFrame) -> int:

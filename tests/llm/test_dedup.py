@@ -90,6 +90,16 @@ def test_nothing_to_remove_from(spark):
     assert substring_dedup.remove_repeats(none).count() == suffix_dedup.remove_repeats(none).count() == minhash.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("rows", [[(1, "short"), (2, None), (3, "")], [(1, "short"), (2, "long " * 200), (3, None), (4, "long " * 200)]])
+def test_blocks_without_a_long_text(spark, rows):
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted(map(tuple, got)) == sorted(bytes_removed(rows, 400))
+
+
 def shingles(text):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
