@@ -1,10 +1,12 @@
 r"""Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
-Base spans come from four patterns over whole texts, in code points. They seed the bootstrap: tokens with a digit or an
-at sign are instances, the word before a token is its pattern, and the pairs of both form a graph. Rounds score it: a
+Base spans come from four patterns over whole texts, in code points. They seed the bootstrap: each base span, and each
+run of digits or token with a digit or an at sign that is clear of them, is an instance with its whole value; the word
+before it is its pattern, and the pairs of both form a graph. Rounds score it: a
 pattern's confidence for a kind is the mean score of its distinct instances, damped; an instance's score is that of its
-best pattern, 1 for seeds. Patterns of high confidence and enough seeds then mark further tokens of their kind that look
-like identifiers. These never replace base spans.
+best pattern, 1 for seeds. Patterns of high confidence and enough seeds then mark further instances of their kind that
+look like identifiers of it. These never replace base spans. A run that is too long for the kind counts by its first
+token.
 
 The patterns are written so that they match the same text as the plain ones but never step back: a run is
 entered at its start or at the end of the last match only, and taken whole.
@@ -32,16 +34,25 @@ PATTERNS = {
 }
 #: What a text must have to be searched for a kind at all.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
-#: Tokens with a digit or at sign, after a word of at most 32 characters.
-INSTANCE = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])(?<=(?<!\S)(\S{1,32})\s)\S++"
+#: Digits in groups, as phones and cards are written, up to the end of a token but for its punctuation.
+RUN = r"[+(]{0,2}+[0-9]++(?:(?:[.-]|\x20?\(|\x20|\)[\x20-]?)[0-9]++)*+(?=\p{Punct}*+(?:\s|\z))"
+#: Such runs, or else tokens with a digit or at sign, after a word of at most 32 characters.
+INSTANCE = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])(?<=(?<!\S)(\S{1,32})\s)(?:" + RUN + r"|\S++)"
+#: Takes nothing, and has the word before a base span, behind which brackets or quotes may open, or that joins it.
+CONTEXT = r"(?:(?<=(?<!\S)(\S{0,31}[^\s(\"'<\[{])(?:\s[(\"'<\[{]{0,2}|))|)"
+#: What comes before CONTEXT in a base pattern, so that it is looked for at matches only.
+ENTRY = {"email": r"(?:(?<![A-Za-z0-9._%+-])|\G)(?=[A-Za-z0-9._%+-]++@)", "ip": r"(?:(?<![0-9])|\G)(?=[0-9]++\.[0-9])", "card": "(?=[0-9])", "phone": r"(?=\+[0-9])"}
 
 ROUNDS, DAMPING = 3, 2.0
 #: A pattern's least confidence, and its least number of distinct seeds.
 CONFIDENCE, SUPPORT = 0.8, 5
-#: A discovered identifier has at least so many characters and digits.
+#: A discovered identifier has at least so many characters and digits; an e-mail needs no digits if it has an at sign within.
 LEAST_LENGTH, LEAST_DIGITS = 6, 4
+#: A discovered run of several tokens has at most so many digits; 0: no such runs.
+MOST_DIGITS = {"email": 0, "ip": 0, "card": 19, "phone": 15}
 
 _SPANS = "array<struct<start:int,end:int,value:string>>"
+_INSTANCES = "array<struct<start:int,end:int,value:string,context:string>>"
 
 
 def _with(value: Column, f) -> Column:
@@ -110,11 +121,24 @@ def _valid(kind: str, span: Column) -> Column:
     return F.lit(True)
 
 
+def _needed(text: Column, kind: str, found: Column, of: str) -> Column:
+    has = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(NEEDS[kind])
+    return F.when(F.coalesce(has, F.lit(False)), F.filter(found, lambda s: _valid(kind, s))).otherwise(F.array().cast(of))
+
+
 def base_spans(text: Column, kind: str) -> Column:
     """start, end and value of the kind's spans in a text, in order; none if it is null."""
-    found = F.filter(_located(text, PATTERNS[kind]), lambda s: _valid(kind, s))
-    has = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(NEEDS[kind])
-    return F.when(F.coalesce(has, F.lit(False)), found).otherwise(F.array().cast(_SPANS))
+    return _needed(text, kind, _located(text, PATTERNS[kind]), _SPANS)
+
+
+def _with_context(spans: Column, contexts: Column) -> Column:
+    return F.zip_with(spans, contexts, lambda s, c: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lower(c).alias("context")))
+
+
+def _seeds(text: Column, kind: str) -> Column:
+    """The kind's base spans with the word before each, in lower case; empty if there is none of at most 32 characters."""
+    contexts = F.regexp_extract_all(text, F.lit(ENTRY[kind] + CONTEXT + PATTERNS[kind]), F.lit(1))
+    return _needed(text, kind, _with_context(_located(text, PATTERNS[kind]), contexts), _INSTANCES)
 
 
 def _ranked(spans: str, kind: int) -> Column:
@@ -131,11 +155,9 @@ def all_base_spans(text: Column) -> Column:
 
 
 def _instances(text: Column) -> Column:
-    """start, end, value and the word before, in lower case, of each token with a digit or at sign."""
-    contexts = F.regexp_extract_all(text, F.lit(INSTANCE), F.lit(1))
-    found = F.zip_with(_located(text, INSTANCE), contexts, lambda s, c: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lower(c).alias("context")))
-    kind = "array<struct<start:int,end:int,value:string,context:string>>"
-    return F.when(F.coalesce(text.rlike("[0-9@]"), F.lit(False)), found).otherwise(F.array().cast(kind))
+    """start, end, value and the word before, in lower case, of each run of digits or token with a digit or at sign."""
+    found = _with_context(_located(text, INSTANCE), F.regexp_extract_all(text, F.lit(INSTANCE), F.lit(1)))
+    return F.when(F.coalesce(text.rlike("[0-9@]"), F.lit(False)), found).otherwise(F.array().cast(_INSTANCES))
 
 
 def scored_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -154,22 +176,38 @@ def scored_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return patterns
 
 
+def _of_kind(instances, kind: int | None) -> Column:
+    """The instances with the kind's rank."""
+    return F.transform(instances, lambda s: F.struct(*(s[c].alias(c) for c in ("start", "end", "value", "context")), F.lit(kind).cast("int").alias("kind")))
+
+
+def _fitting(value: Column, kind: Column) -> Column:
+    """An instance's value, or its first token if it has several and more digits than those of the kind."""
+    most = F.element_at(F.array(*(F.lit(MOST_DIGITS[k]) for k in KINDS)), kind + 1)
+    return F.when(F.char_length(_digits(value)) <= most, value).otherwise(F.regexp_extract(value, r"^\S+", 0))
+
+
+def _like(value: Column, kind: Column) -> Column:
+    """Whether it looks like an identifier of the kind."""
+    digits = F.char_length(_digits(value)) >= LEAST_DIGITS
+    return (F.char_length(value) >= LEAST_LENGTH) & F.when(kind == KINDS.index("email"), digits | value.rlike(r"[^\s@]@[^\s@]")).otherwise(digits)
+
+
 def find(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """Each row of docs (doc_id, text, and what else it has) with `base` and `spans`: arrays of kind rank (0 to 3),
     start and end, in that order, and n_email, n_ip, n_card and n_phone, the numbers of base spans."""
     text = F.col("text")
-    rows = docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", *(base_spans(text, k).alias(k) for k in KINDS), _instances(text).alias("instances"))
+    rows = docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", *(_seeds(text, k).alias(k) for k in KINDS), _instances(text).alias("instances"))
     ranked = [_ranked(k, i) for i, k in enumerate(KINDS)]
-    rows = rows.select("__row", "doc_id", *(F.size(k).cast("bigint").alias(f"n_{k}") for k in KINDS), F.concat(*ranked).alias("base"), "instances")
+    rows = rows.select("__row", "doc_id", *(F.size(k).cast("bigint").alias(f"n_{k}") for k in KINDS), F.concat(*ranked).alias("base"), F.concat(*(_of_kind(k, i) for i, k in enumerate(KINDS))).alias("seeds"), "instances")
     rows = saved(rows)
 
-    overlap = lambda s: F.filter("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
-    kinds = F.transform("instances", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["context"].alias("context"), F.array_min(F.transform(overlap(s), lambda b: b["kind"])).alias("kind")))
-    seen = rows.select("__row", F.explode(kinds).alias("i")).select("__row", "i.*")
+    free = F.filter("instances", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+    seen = rows.select("__row", F.explode(F.concat("seeds", _of_kind(free, None))).alias("i")).select("__row", "i.*").filter("context != ''")
     patterns = scored_patterns(seen.select("context", "value", "kind"), rounds)
     strong = patterns.filter((F.col("confidence") >= confidence) & (F.col("seeds") >= support)).groupBy("context").agg(F.min("kind").alias("found"))
-    like = (F.col("kind").isNull()) & (F.char_length("value") >= LEAST_LENGTH) & (F.char_length(_digits(F.col("value"))) >= LEAST_DIGITS)
-    more = seen.filter(like).join(strong, "context").groupBy("__row").agg(F.collect_list(F.struct(F.col("found").alias("kind"), "start", "end")).alias("more"))
+    more = seen.filter("kind is null").join(strong, "context").withColumn("value", _fitting(F.col("value"), F.col("found"))).filter(_like(F.col("value"), F.col("found")))
+    more = more.withColumn("end", F.col("start") + F.char_length("value")).groupBy("__row").agg(F.collect_list(F.struct(F.col("found").alias("kind"), "start", "end")).alias("more"))
     return rows.join(more, "__row", "left").select("doc_id", *(f"n_{k}" for k in KINDS), "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more"))).alias("spans"))
 
 

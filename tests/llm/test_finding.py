@@ -117,6 +117,15 @@ def test_bootstrap_finds_what_stands_where_identifiers_stand(spark):
     assert found[3] == "card:5:21"
 
 
+def test_bootstrap_takes_whole_entities(spark):
+    spaced = lambda k: next("%s %s %s %s" % tuple(re.findall("....", str(n))) for n in range(4 * 10**15 + 977 * k, 9 * 10**15) if luhn(str(n)))
+    rows = [(k, f"call +1 ({200 + k}) 555-{1000 + k}. visa ({spaced(k)}) and mail u{k}@host.example now") for k in range(30)]
+    unseen = ["call (743) 555-3824, yes", "visa 4000 0000 0000 0000, yes", "mail jane@intranet yes", "other (743) 555-3825 and ann@intranet", "visa " + "40 " * 12 + "yes", "visa 4000000000000012x 1"]
+    rows += [(100 + k, t) for k, t in enumerate(unseen)]
+    found = {x.doc_id: x.spans for x in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert [found[100 + k] for k in range(len(unseen))] == ["phone:5:19", "card:5:24", "email:5:18", "", "", "card:5:22"]
+
+
 def test_redaction(spark):
     rows = [(1, "é x@y.zz and +1 (743) 555-3824!"), (2, "clean"), (3, None), (4, "4539578763621486")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
