@@ -54,14 +54,18 @@ def top_k(vectors: DataFrame, query: list[float], k: int, metric: str = "cosine"
 
 
 def multi_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding", digits: int = 6, most: int = 1000) -> DataFrame:
-    """The k nearest rows for each of queries (query_id, query): at most `most`, for they are sent to every task."""
-    own = queries.limit(most + 1).collect()
-    if len(own) > most:
-        raise ValueError(f"more than {most} queries; search in batches")
-    sent = F.broadcast(vectors.sparkSession.createDataFrame(own, queries.schema))
-    scored = vectors.join(sent).withColumn("distance", F.round(METRICS[metric](F.col(vector), F.col("query")), digits))
+    """The k nearest rows for each of queries (query_id, query), in waves of about `most` at most, by a hash of query_id,
+    for a wave is sent to every task."""
+    waves = max(1, -(-queries.count() // most))
+    own = queries.withColumn("__wave", F.pmod(F.xxhash64("query_id"), F.lit(waves)))
+
+    def scored(wave: int) -> DataFrame:
+        sent = F.broadcast(own.filter(F.col("__wave") == wave).drop("__wave"))
+        return vectors.crossJoin(sent).withColumn("distance", F.round(METRICS[metric](F.col(vector), F.col("query")), digits)).select("query_id", key, "distance")
+
     order = Window.partitionBy("query_id").orderBy("distance", key)
-    return scored.select("query_id", key, "distance").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    best = [scored(i).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k) for i in range(waves)]
+    return reduce(DataFrame.unionByName, best)
 
 
 def oversampled(n: int) -> int:

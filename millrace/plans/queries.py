@@ -92,6 +92,13 @@ def multi_query_topk(spark, d):
     return vector.multi_top_k(own, own.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 6)
 
 
+@query("""SELECT query_id, vec_id, distance, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM
+          (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rank <= 6""")
+def multi_query_topk_all(spark, d):
+    own = read(spark, d, "embeddings")
+    return vector.multi_top_k(own, own.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 6)
+
+
 @query(f"""WITH t AS (SELECT vec_id, text, round(list_cosine_distance(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 3)::DOUBLE[]), 6) AS distance FROM embeddings JOIN documents ON vec_id = doc_id ORDER BY distance, vec_id LIMIT 20),
           b AS (SELECT *, round(0.12 * len(list_filter(['combat', 'thing', 'inea'], lambda k: contains(lower(text), k))), 6) AS boost FROM t)
           SELECT vec_id, distance, boost, round(distance - boost, 6) AS final_score FROM b ORDER BY final_score, distance, vec_id LIMIT 8""")

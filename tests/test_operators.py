@@ -222,3 +222,15 @@ def test_streaming(spark, tmp_path):
     run()
     got = spark.read.parquet(f"file://{tmp_path}/out").collect()
     assert sorted(r.source_file for r in got) == ["a.txt", "b.txt"]
+
+
+@pytest.mark.parametrize("most", [1, 7, 1000])
+def test_queries_in_waves(spark, most):
+    r = random.Random(4)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(3)]) for i in range(40)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = vectors.filter("vec_id % 4 = 0").selectExpr("vec_id AS query_id", "embedding AS query")
+    near = lambda q: sorted((round(sum((x - y) ** 2 for x, y in zip(v, q)), 6), i) for i, v in rows)[:3]
+    want = {(i, j, n + 1) for i, q in rows if i % 4 == 0 for n, (_, j) in enumerate(near(q))}
+    got = [(x.query_id, x.vec_id, x["rank"]) for x in vector.multi_top_k(vectors, queries, 3, metric="l2", most=most).collect()]
+    assert len(got) == len(want) and set(got) == want
