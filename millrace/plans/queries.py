@@ -233,6 +233,12 @@ def line_explode(spark, d):
     return tables.lines(docs).select(F.col("source_file").alias("doc_id"), "line_no", "line")
 
 
+@query(r"SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)")
+def line_explode_all(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("source_file"), "text")
+    return tables.lines(docs).select(F.col("source_file").alias("doc_id"), "line_no", "line")
+
+
 @query("""WITH m AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN turn * 10 END AS mark FROM conversations)
           SELECT conv_id, turn, CAST(coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), 1) AS INTEGER) AS page FROM m""")
 def page_carry(spark, d):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import fixed
 from millrace.operators import chunking, evaluation, layout, profile, retrieval, rule_index, vector
+from millrace.plans import queries
 from millrace.sources import tables
 from millrace.streaming import ingest
 
@@ -234,3 +235,10 @@ def test_queries_in_waves(spark, most):
     want = {(i, j, n + 1) for i, q in rows if i % 4 == 0 for n, (_, j) in enumerate(near(q))}
     got = [(x.query_id, x.vec_id, x["rank"]) for x in vector.multi_top_k(vectors, queries, 3, metric="l2", most=most).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_lines_of_all_documents(spark, tmp_path):
+    rows = [(i, f"first {i}\n\nlast") for i in (0, 499, 500, 10**12)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, queries.QUERIES["line_explode_all"](spark, str(tmp_path)).collect()))
+    assert got == sorted((i, n, line) for i, t in rows for n, line in enumerate(t.split("\n")))
