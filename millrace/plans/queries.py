@@ -178,6 +178,11 @@ def keyword_extract(spark, d):
     return read(spark, d, "benchmark").filter(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("item_id", F.array_join(text.keywords(F.col("text")), " ").alias("kept"))
 
 
+@query()
+def keyword_extract_all(spark, d):
+    return read(spark, d, "benchmark").select("item_id", F.array_join(text.keywords(F.col("text")), " ").alias("kept"))
+
+
 @query("SELECT doc_id, len(list_filter(['thing', 'eau', 'sch', 'ción'], lambda k: contains(lower(text), k))) AS hits FROM documents")
 def keyword_hits(spark, d):
     return read(spark, d, "documents").select("doc_id", F.size(text.keywords_in(F.col("text"), F.array(*map(F.lit, ["Thing", "eau", "SCH", "ción"])), ignore_case=True)).cast("bigint").alias("hits"))

@@ -1,6 +1,7 @@
 """Chunkers, index, search, layout, sources and streaming."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -242,3 +243,11 @@ def test_lines_of_all_documents(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(map(tuple, queries.QUERIES["line_explode_all"](spark, str(tmp_path)).collect()))
     assert got == sorted((i, n, line) for i, t in rows for n, line in enumerate(t.split("\n")))
+
+
+def test_keywords_of_all_items(spark, tmp_path):
+    rows = [(1, "The élan, of Straße; an_x 12 3456!"), (2, "Plain words"), (3, "où être\u00a0là-bas"), (4, "")]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = lambda t: " ".join(w for w in re.split(r"\s+", re.sub(r"[^\w\s]", "", t.lower())) if len(w) > 2 and w not in fixed.STOP_WORDS_RULES)
+    got = sorted(map(tuple, queries.QUERIES["keyword_extract_all"](spark, str(tmp_path)).collect()))
+    assert got == [(i, kept(t)) for i, t in rows]
