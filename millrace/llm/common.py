@@ -12,14 +12,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LANGUAGE_FREE_COLUMNS = ["doc_id", "text"]
+
+#: Groups that are broadcast for their size, at most.
+HOT_GROUPS = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one of this machine if that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. If that is unset, a local session (one process)
+    gets a new one of this machine; elsewhere that would scatter parts over the executors' disks, so it is an error."""
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
@@ -27,7 +32,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's own part of the shared folder, which is deleted when the application ends."""
+    own = f"{shared_folder(spark)}/millrace/{spark.sparkContext.applicationId}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(own)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(folder)
+    store.deleteOnExit(folder)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def free_name(taken: list[str], name: str = "__text") -> str:
+    """The name, or one like it that none of the taken ones is, whatever their case."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -36,6 +55,19 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def joined_to_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: Column, total: int) -> DataFrame:
+    """rows left-joined to groups by keys. Groups of more than total / HOT_GROUPS rows, of which there can be no more than
+    HOT_GROUPS, are broadcast; their rows then spread by `spread` over all tasks, in place of one for each group."""
+    values = [c for c in groups.columns if c not in keys and c != size]
+    is_hot, salt = free_name(rows.columns, "__hot"), free_name(rows.columns, "__salt")
+    other = {c: free_name(rows.columns, f"__hot_{c}") for c in values}
+    hot = groups.filter(F.col(size) * HOT_GROUPS > total).select(*keys, *(F.col(c).alias(other[c]) for c in values), F.lit(True).alias(is_hot))
+    marked = rows.join(F.broadcast(hot), keys, "left").withColumn(salt, F.when(F.col(is_hot), F.pmod(F.xxhash64(spread), F.lit(1 << 30)) + 1).otherwise(0).cast("bigint"))
+    cold = groups.filter(F.col(size) * HOT_GROUPS <= total).select(*keys, *values, F.lit(0).cast("bigint").alias(salt))
+    both = marked.join(cold, [*keys, salt], "left")
+    return both.select(*rows.columns, *(F.when(F.col(is_hot), F.col(other[c])).otherwise(F.col(c)).alias(c) for c in values))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

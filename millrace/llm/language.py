@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import worker_cache
+from .common import free_name, worker_cache
 
 UNKNOWN = "und"
 #: Buckets of hashed n-grams.
@@ -137,15 +137,17 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred and score, the probability of that language; only the text is read for it. Columns of docs
     with these names are replaced."""
     docs = docs.drop("lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.withColumn("__text", F.col(text))
+    # plain arrays: a broadcast is pickled by reference to classes, which executors may lack
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.prior, model.weights))
+    rows = docs.select(*(docs[c] for c in docs.columns), docs[text].alias(free_name(docs.columns)))
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def predict(batches):
+        model = Model(*shared.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 some = batch.slice(lo, 1000)
-                languages, scores = shared.value.score(some.column(some.num_columns - 1).to_pylist())
+                languages, scores = model.score(some.column(some.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
     return rows.mapInArrow(predict, schema)

@@ -171,22 +171,24 @@ def pack(pieces: DataFrame, size: int = 1024) -> DataFrame:
     """The saved pieces with sequence_id and offset. `part` and `local` are as token_pieces gives them."""
     counts = pieces.groupBy("length", "part").count()
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    made = pieces.sparkSession.sparkContext.broadcast(plan(histogram, size))
+    p = plan(histogram, size)
+    # plain arrays: a broadcast is pickled by reference to classes, which executors may lack
+    made = pieces.sparkSession.sparkContext.broadcast((p.length, p.first, p.bin, p.copies, p.offset))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
     ranked = pieces.join(offsets, ["length", "part"]).withColumn("rank", F.col("before") + F.col("local")).drop("before", "part", "local")
     schema = T.StructType([*(f for f in ranked.schema if f.name != "rank"), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(batches):
-        p = made.value
+        lengths, first, bins, copies, offsets = made.value
         top = np.int64(1) << 44
-        keys = p.length * top + p.first
+        keys = lengths * top + first
         for batch in batches:
             length, rank = (batch.column(batch.schema.get_field_index(x)).to_numpy(zero_copy_only=False) for x in ("length", "rank"))
             k = np.searchsorted(keys, length * top + rank, "right") - 1
-            nth = rank - p.first[k]
+            nth = rank - first[k]
             columns = [batch.column(batch.schema.get_field_index(f.name)) for f in schema.fields[:-2]]
-            columns += [pa.array(p.bin[k] + nth // p.copies[k]), pa.array(p.offset[k] + nth % p.copies[k] * length)]
+            columns += [pa.array(bins[k] + nth // copies[k]), pa.array(offsets[k] + nth % copies[k] * length)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return ranked.mapInArrow(place, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, shuffle_partitions, worker_cache
+from .common import free_name, saved, shuffle_partitions, worker_cache
 
 #: Entries of the broadcast table, and so of each task's summary.
 TABLE_ENTRIES = 16_384
@@ -161,7 +161,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, text: str = "text", keep:
             columns = [*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_tokens", "over_limit"])
 
-    rows = docs.select(*keep, F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes"), F.col(text).alias("__text"))
+    rows = docs.select(*keep, F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes"), F.col(text).alias(free_name([*keep, "n_bytes"])))
     names = rows.columns[:-1]
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
     return rows.mapInArrow(tokens, schema)

@@ -34,7 +34,7 @@ ROWS = [(1, "the cat's 12 dogs <|endoftext|> end"), (2, None), (3, ""), (3, ""),
 
 
 def test_counts(spark, library):
-    docs = spark.createDataFrame(ROWS, "doc_id long, text string").withColumnsRenamed({}).selectExpr("*", "1 AS n_tokens_", "'x' AS __text_")
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string").withColumnsRenamed({}).selectExpr("*", "1 AS n_tokens", "2 AS n_bytes", "'x' AS __text")
     got = sorted(map(tuple, token_counts.count_tokens(docs, WORDS, limit=100).collect()), key=str)
     want = []
     for i, t in ROWS:
