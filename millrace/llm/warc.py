@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, joined_to_groups
 
 #: Fixed values of the formats: magic numbers of the dictionary frame, of a Zstandard frame and of a dictionary.
 DICTIONARY_FRAME, FRAME, DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
@@ -187,12 +187,14 @@ def parse_http(headers: dict[str, str], block: bytes) -> tuple[bytes | None, int
 
 def mark_revisits(pages: DataFrame, key: str = "page_id", payload: str = "html", from_bytes: int = REVISIT_FROM) -> DataFrame:
     """Adds payload_digest, payload_bytes and refers_to: of equal payloads of at least from_bytes bytes, all refer to
-    the largest key but the rows that have it. Only digests of which there are two rows or more are joined back."""
+    the largest key but the rows that have it; columns of these names are replaced. Only digests of which there are two
+    rows or more are joined back, the most frequent by a broadcast, so that no task gets all copies of a payload."""
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
+    pages = pages.drop("payload_digest", "payload_bytes", "refers_to")
     rows = pages.withColumns({"payload_digest": F.sha1(body), "payload_bytes": F.octet_length(body).cast("bigint")})
     slim = pages.select(F.sha1(body).alias("payload_digest"), F.octet_length(body).alias("n"), F.col(key).alias("k")).filter(F.col("n") >= from_bytes)
-    largest = slim.groupBy("payload_digest").agg(F.max("k").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    joined = rows.join(largest, "payload_digest", "left")
+    largest = slim.groupBy("payload_digest").agg(F.max("k").alias("refers_to"), F.count("*").alias("__n")).filter("__n > 1")
+    joined = joined_to_groups(rows, largest, ["payload_digest"], "__n", F.col(key), pages.count())
     return joined.withColumn("refers_to", F.when((F.col("payload_bytes") >= from_bytes) & ~F.col(key).eqNullSafe(F.col("refers_to")), F.col("refers_to")))
 
 
@@ -292,6 +294,7 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = True, o
 def archive_round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes pages (page_id, url, html) as archives, reads those back and returns the records of each page."""
     spark = pages.sparkSession
+    pages = pages.select("page_id", "url", "html")
     folder = folder or fresh_path(spark, "warc")
     written = write_archives(mark_revisits(pages), folder).agg(F.sum("records")).first()[0]
     kind = pages.schema["page_id"].dataType

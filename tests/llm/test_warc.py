@@ -24,7 +24,7 @@ def expected():
 
 
 def test_round_trip(spark, tmp_path):
-    pages = spark.createDataFrame(ROWS, "page_id long, url string, html string").selectExpr("*", "1 AS refers_to_", "2 AS payload_digest_")
+    pages = spark.createDataFrame(ROWS, "page_id long, url string, html string").selectExpr("*", "1 AS refers_to", "2 AS payload_digest", "3 AS payload_bytes", "4 AS k", "5 AS __n", "6 AS __hot")
     got = warc.archive_round_trip(pages.repartition(3), f"file://{tmp_path}/w")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(expected(), key=str)
     back = warc.read_archives(spark, f"file://{tmp_path}/w").collect()
