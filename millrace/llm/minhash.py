@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, saved, text_bytes
+from .common import joined_to_groups, mix, saved, text_bytes
 from .components import connected_components
 from .substring_dedup import window_hashes, word_bounds, word_hashes
 
@@ -190,9 +190,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     """doc_id, n_shingles, component_id (the smallest id that links reach, its own included) of each row of docs.
     Linked are documents whose sets' intersection is at least percent / 100 of their union."""
     made = saved(sketches(docs, width, rows, bands))
-    classes = made.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id"))
-    member = saved(made.drop("bands").join(classes, ["s1", "s2", "n"], "left").select("doc_id", "n", F.coalesce("id", "doc_id").alias("id")))
-    heads = made.filter("n > 0").join(classes.select("id"), made["doc_id"] == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
+    classes = saved(made.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("size")).filter("size > 1"))
+    slim = made.select("doc_id", "n", "s1", "s2")
+    member = saved(joined_to_groups(slim, classes, ["s1", "s2", "n"], "size", F.col("doc_id"), made.count()).select("doc_id", "n", F.coalesce("id", "doc_id").alias("id")))
+    heads = made.filter("n > 0").join(member.filter("doc_id = id").select("id"), made["doc_id"] == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
     keys = heads.select(F.col("doc_id").alias("id"), "n", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = saved(keys.join(shared, ["band", "key"]))
