@@ -4,7 +4,8 @@ Every window of every document is hashed; Spark finds which fingerprints begin i
 windows merge into maximal removal intervals. Blocks hold ranges of ids, so that "in a document with a smaller id"
 means "in an earlier block", and the block's own documents are compared within the block. Fingerprints have 64 bits.
 
-Defined cases: null and empty texts have no words; documents shorter than a window lose nothing; rows of equal id are
+Defined cases: null and empty texts have no words; documents shorter than a window lose nothing; ids are integers or
+strings; rows of equal id are
 not held against each other; null ids count as the smallest; other columns are not read; an empty table gives an empty
 result; of equal texts the one with the smallest id stays whole. No window is left out, however frequent.
 """
@@ -15,7 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,22 +93,37 @@ def earlier(order: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return again
 
 
+def id_marks(docs: DataFrame, n: int) -> tuple[np.ndarray, Column]:
+    """n - 1 ids that cut the documents into ranges of about equal numbers, and the ids without nulls. String ids, in
+    order of their code points, are cut by a sample of about 100 for each range."""
+    kind = docs.schema["doc_id"].dataType
+    if isinstance(kind, T.IntegralType):
+        ids = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(np.iinfo(np.int64).min))
+        marks = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0] if n > 1 else None
+        return np.array(marks or [], np.int64), ids
+    if not isinstance(kind, T.StringType):
+        raise TypeError(f"ids are {kind.simpleString()}, not integers or strings")
+    total = docs.count()
+    share = int((1 << 30) * min(1.0, 100 * n / max(1, total)))
+    some = sorted(r["doc_id"] for r in docs.filter("doc_id is not null").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).select("doc_id").collect())
+    return np.array([some[len(some) * i // n] for i in range(1, n)] if some else [], object), F.coalesce("doc_id", F.lit(""))
+
+
 def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each document, with kept_text and the removed word ranges
     (spans, end exclusive) if with_text."""
     docs = docs.select("doc_id", "text")
     n = block_count(docs)
     buckets = bucket_count(docs.sparkSession, n)
-    marks = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0] if n > 1 else None
-    marks = np.array(marks or [], np.int64)
+    marks, ids = id_marks(docs, n)
 
     @F.pandas_udf("int")
     def index(ids):
         import pandas as pd
 
-        return pd.Series(np.searchsorted(marks, ids.fillna(np.iinfo(np.int64).min).astype("int64"), "right")).astype("int32")
+        return pd.Series(np.searchsorted(marks, ids.to_numpy(marks.dtype), "right")).astype("int32")
 
-    indexed = docs.withColumn("i", index(F.col("doc_id").cast("bigint")))
+    indexed = docs.withColumn("i", index(ids))
     blocks = dealt(indexed, F.col("i"), n).drop("i")
 
     def first(key, table):
