@@ -4,8 +4,9 @@ Vectors are integers, floor(scale * x). A task holds a batch of candidates in ve
 dimension, and adds up a query's scores block by block of dimensions. After each block a candidate's score can rise by
 at most the product of the remaining masses (norms over the dimensions not yet seen); candidates that can't reach the
 query's k-th best score are dropped and the rest compacted. First bounds come from a sample of candidates of fixed
-size; they only save work, the result is exact. Queries are broadcast in waves of bounded size, and each wave is held
-against all candidates; a task returns only what beats the bound.
+size; they only save work, the result is exact. Executors make the queries into blocks of bounded size with their first
+bounds and write them to the shared folder; each task reads one block after another for its candidates and returns only
+what beats the bound. Neither queries nor bounds pass through the driver.
 
 Defined cases: vectors that are null, or hold a null or a non-finite component, take no part; missing components of
 shorter vectors count as 0; rows that share the query's id are not its candidates; equal scores go to the smaller id,
@@ -16,6 +17,7 @@ beyond a long are held at its ends.
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Components of all queries of a wave, and so of what is broadcast at once, at most.
-WAVE_COMPONENTS = 1 << 21
+from .common import fresh_path, shuffle_partitions
+
+#: Components of the queries of a block, at most (but one query at least).
+QUERY_COMPONENTS = 1 << 18
+#: Candidates that a task holds while it reads all blocks of queries.
+HELD_ROWS = 1 << 15
 #: Candidates of the sample that gives the first bounds.
 SAMPLE_ROWS = 2048
 #: Candidates scored at once, and dimensions of a block.
@@ -112,29 +118,54 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ke
         return spark.createDataFrame([], schema).select("query_id", F.lit(0).alias("rank"), "vec_id", "score")
     spread = F.pmod(F.xxhash64("__id"), F.lit(1 << 30))
     sample = rows.filter(spread < int((1 << 30) * min(1.0, SAMPLE_ROWS / total))).select("__id", "__x").toArrow()  # of fixed size
-    waves = -(-queries * max(1, longest) // WAVE_COMPONENTS)
-    found = None
-    for wave in range(waves):
-        own = rows.filter(F.col("__q") & (F.pmod(spread, F.lit(waves)) == wave)).select("__id", "__x").toArrow()  # of bounded size
-        ids, q = own.column(0).to_numpy(), matrix(own.column(1), scale)
-        first = [Best(k) for _ in ids]
-        search(sample.column(0).to_numpy(), matrix(sample.column(1), scale), ids, q, first)
-        shared = spark.sparkContext.broadcast((ids, q, [b.bound for b in first]))
-
-        def scan(batches, shared=shared):
-            ids, q, bounds = shared.value
+    first = spark.sparkContext.broadcast((sample.column(0).to_numpy(), matrix(sample.column(1), scale)))
+    width = max(1, QUERY_COMPONENTS // max(1, longest))
+
+    def blocks(batches):
+        ids_of_sample, x = first.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, width):
+                some = batch.slice(lo, width)
+                ids, q = some.column(0).to_numpy(), matrix(some.column(1), scale)
+                best = [Best(k) for _ in ids]
+                search(ids_of_sample, x, ids, q, best)
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((ids, q, [b.bound for b in best]))], pa.binary())], names=["block"])
+
+    folder = fresh_path(spark, "queries")
+    tasks = min(shuffle_partitions(spark), -(-queries // width))
+    rows.filter("__q").select("__id", "__x").repartition(tasks, "__id").mapInArrow(blocks, "block binary").write.parquet(folder)
+
+    def query_blocks():
+        from pyarrow import fs, parquet
+
+        store, path = fs.FileSystem.from_uri(folder)
+        for file in sorted(f.path for f in store.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")):
+            with store.open_input_file(file) as source:
+                for batch in parquet.ParquetFile(source).iter_batches(batch_size=1):
+                    yield pickle.loads(batch.column(0)[0].as_py())
+
+    def against_all(held: list[tuple[np.ndarray, np.ndarray]]):
+        for ids, q, bounds in query_blocks():
             best = [Best(k, b) for b in bounds]
-            for batch in batches:
-                for lo in range(0, batch.num_rows, BATCH_ROWS):
-                    some = batch.slice(lo, BATCH_ROWS)
-                    search(some.column(0).to_numpy(), matrix(some.column(1), scale), ids, q, best)
-            for lo in range(0, len(ids), 1000):
-                part = best[lo : lo + 1000]
-                n = [len(b.ids) for b in part]
-                scores = [int(s) for b in part for s in b.scores]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[lo : lo + 1000], n), pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int64), *(b.ids for b in part)]), pa.int64()), pa.array(scores, pa.int64())], names=["query_id", "vec_id", "score"])
-
-        part = rows.select("__id", "__x").mapInArrow(scan, schema)
-        found = part if found is None else found.unionByName(part)
+            for own, x in held:
+                search(own, x, ids, q, best)
+            n = [len(b.ids) for b in best]
+            scores = [int(s) for b in best for s in b.scores]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n), pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int64), *(b.ids for b in best)]), pa.int64()), pa.array(scores, pa.int64())], names=["query_id", "vec_id", "score"])
+
+    def scan(batches):
+        held, size = [], 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BATCH_ROWS):
+                some = batch.slice(lo, BATCH_ROWS)
+                held.append((some.column(0).to_numpy(), matrix(some.column(1), scale)))
+                size += some.num_rows
+                if size >= HELD_ROWS:
+                    yield from against_all(held)
+                    held, size = [], 0
+        if held:
+            yield from against_all(held)
+
+    found = rows.select("__id", "__x").mapInArrow(scan, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
