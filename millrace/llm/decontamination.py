@@ -5,7 +5,8 @@ all documents. A first pass counts the items' words in the documents; a second o
 windows' prefix words, keeps those whose window would lie within the document (position and length bounds), and verifies
 the window word for word, all in the task that reads the document.
 
-The windows are broadcast if there are at most BROADCAST_WINDOWS of them; else the same joins shuffle.
+The windows are broadcast if they and their items' ids have at most BROADCAST_BYTES; else the same joins shuffle, and a
+document's word travels with the words around it that a window may cover, never with the whole document.
 
 Defined cases: null and empty texts have no words and no hits; items without words have no windows; repeated rows of
 docs give one result row each, repeated items count once by id; other columns are not read; with no items nothing is
@@ -17,7 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_WINDOWS = 200_000
+from .common import saved
+
+#: Characters of all windows and of the ids of their items up to which they are broadcast.
+BROADCAST_BYTES = 64 << 20
 
 #: A-Z become a-z; words are runs of what remains of letters and digits, and of all that is not ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -42,7 +46,8 @@ def windows(items: DataFrame, width: int, key: str = "item_id") -> DataFrame:
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """Each row of docs (doc_id, text) with n_words, n_hit, n_items, items and contaminated."""
     found = windows(items, width)
-    small = found.count() <= BROADCAST_WINDOWS
+    size = found.agg(F.sum(F.char_length(F.array_join("window", " ")) + F.char_length(F.array_join("items", ",")))).first()[0] or 0
+    small = size <= BROADCAST_BYTES
     sent = F.broadcast if small else (lambda df: df)
     own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("w"))
 
@@ -51,6 +56,11 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
     counts = vocabulary.join(seen, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
     by_word = found.select("window", "items", F.posexplode("window").alias("at", "word")).join(counts, "word")
     prefix = by_word.groupBy("window", "items").agg(F.min(F.struct("n", "word", "at")).alias("p"))
+    if not small:
+        # rows are numbered once, for two joins meet at that number
+        rows = saved(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
+        own = rows.select("row", "doc_id", words(F.col("text")).alias("w"))
+        return _shuffled(own, prefix.select("window", "items", F.col("p.word").alias("word"), F.col("p.at").alias("at")), width)
     # the empty word is no word: it stands at each document's end, so that every document has a row
     mark = docs.sparkSession.range(1).select(F.array().cast("array<string>").alias("window"), F.array().cast("array<string>").alias("items"), F.lit("").alias("word"), F.lit(0).alias("at"))
     probes = prefix.select("window", "items", F.col("p.word").alias("word"), F.col("p.at").alias("at")).unionByName(mark)
@@ -60,7 +70,28 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
     bounds = (start >= 0) & (start + length <= F.size("w"))
     hits = tokens.join(sent(probes), (tokens["word"] == probes["word"]) & bounds & (F.slice("w", F.greatest(start, F.lit(0)) + 1, length) == F.col("window")))
     hits = hits.select("row", "doc_id", F.size("w").cast("bigint").alias("n_words"), F.when(length > 0, F.struct(start.alias("s"), (start + length).alias("e"))).alias("span"), "items")
-    each = hits.groupBy("row", "doc_id", "n_words").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    return _covered(hits.groupBy("row", "doc_id", "n_words").agg(*_found()))
+
+
+def _found() -> list[Column]:
+    return [F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")]
+
+
+def _shuffled(own: DataFrame, probes: DataFrame, width: int) -> DataFrame:
+    """As the broadcast join of contamination, by joins that shuffle: each word goes with those around it."""
+    tokens = own.select("row", F.size("w").alias("size"), "w", F.posexplode("w").alias("pos", "word"))
+    first = F.greatest(F.col("pos") - (width - 1), F.lit(0))
+    tokens = tokens.select("row", "size", "pos", "word", first.alias("first"), F.slice("w", first + 1, 2 * width - 1).alias("around"))
+    start, length = F.col("pos") - F.col("at"), F.size("window")
+    bounds = (start >= 0) & (start + length <= F.col("size"))
+    whole = F.slice("around", F.greatest(start - F.col("first"), F.lit(0)) + 1, length) == F.col("window")
+    hits = tokens.join(probes, (tokens["word"] == probes["word"]) & bounds & whole).select("row", F.struct(start.alias("s"), (start + length).alias("e")).alias("span"), "items")
+    rows = own.select("row", "doc_id", F.size("w").cast("bigint").alias("n_words")).join(hits.groupBy("row").agg(*_found()), "row", "left")
+    none = F.array().cast("array<struct<s:int,e:int>>"), F.array().cast("array<string>")
+    return _covered(rows.withColumns({"spans": F.coalesce("spans", none[0]), "items": F.coalesce("items", none[1])}))
+
+
+def _covered(each: DataFrame) -> DataFrame:
     zero = F.struct(F.lit(0).alias("hit"), F.lit(0).alias("end"))
     covered = F.aggregate("spans", zero, lambda a, x: F.struct((a["hit"] + F.greatest(F.lit(0), x["e"] - F.greatest(x["s"], a["end"]))).alias("hit"), F.greatest(a["end"], x["e"]).alias("end")), lambda a: a["hit"])
     return each.select("doc_id", "n_words", covered.cast("bigint").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items", (F.size("spans") > 0).alias("contaminated"))

@@ -12,7 +12,8 @@ from millrace.llm import decontamination, language, pii, topk
 
 @pytest.mark.parametrize("big", [1.0, 1e30])
 def test_top_k(spark, big, monkeypatch):
-    monkeypatch.setattr(topk, "WAVE_COMPONENTS", 40)
+    monkeypatch.setattr(topk, "QUERY_COMPONENTS", 40)
+    monkeypatch.setattr(topk, "HELD_ROWS", 20)
     monkeypatch.setattr(topk, "SAMPLE_ROWS", 10)
     monkeypatch.setattr(topk, "BLOCK", 3)
     r = random.Random(2)
@@ -46,7 +47,7 @@ def test_language(spark):
     say = lambda x, n: " ".join("".join(r.choice(STEMS[x]) for _ in range(r.randint(1, 3))) for _ in range(n))
     rows = [(i, say(x := r.choice(list(STEMS)), r.randint(3, 30)), x) for i in range(600)]
     rows += [(9001, None, "en"), (9002, "", "en"), (9003, "12 -- 3", "fr"), (9004, say("de", 30000), None), (9004, "the and", None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("x"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"score": F.lit("x"), "__text": F.lit("y")})
     model = language.train(docs)
     assert model.languages == ["de", "en", "fr"]
     found = language.identify(docs, model).withColumn("held_out", language.is_held_out(F.col("doc_id"))).collect()
@@ -150,9 +151,9 @@ def contaminated(docs, items, width):
         yield i, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("most", [10**6, 0])
+@pytest.mark.parametrize("most", [10**9, 0])
 def test_contamination(spark, most, monkeypatch):
-    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", most)
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", most)
     r = random.Random(6)
     say = lambda n: " ".join(r.choice(["a", "B", "c", "Ünd", "x1", "y-z"]) for _ in range(n))
     items = [(i, say(r.choice([1, 2, 3, 7, 9]))) for i in range(12)] + [(10, None), (11, ""), (12, "--"), (3, say(5)), (13, "É zz")]
