@@ -101,10 +101,19 @@ def ordered(table: pa.Table) -> pa.Table:
     return table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start")).combine_chunks()
 
 
-def questions(block: int, at: int, buckets: int, hashes: np.ndarray, *more: np.ndarray, state: bytes | None = None) -> pa.Table:
+def by_value(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the sorted fingerprints of each bucket begin, but for the first."""
+    return np.searchsorted(hashes, np.array([-(-(b << 64) // buckets) for b in range(1, buckets)], np.uint64))
+
+
+def by_rank(ranks: np.ndarray, buckets: int) -> np.ndarray:
+    """As by_value, of sorted ranks: each goes back to the bucket that gave it."""
+    return np.searchsorted(ranks, np.arange(2, buckets + 1, dtype=np.uint64) << np.uint64(32))
+
+
+def questions(block: int, at: int, buckets: int, hashes: np.ndarray, *more: np.ndarray, state: bytes | None = None, cuts: Callable = by_value) -> pa.Table:
     """The rows that a block sends: its sorted fingerprints, with more of each, cut by bucket; and its state."""
-    cuts = np.searchsorted(hashes, np.array([-(-(b << 64) // buckets) for b in range(1, buckets)], np.uint64))
-    edges = np.concatenate([[0], cuts, [len(hashes)]])
+    edges = np.concatenate([[0], cuts(hashes, buckets), [len(hashes)]])
     rows = [(b, block, at, CODES, _join([planes(x[lo:hi]) for x in (hashes, *more)])) for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])) if hi > lo]
     if state is not None:
         rows.append((at % buckets, block, at, STATE, state))
@@ -145,9 +154,10 @@ def answered(asked: DataFrame, buckets: int, resolve: Resolver, dtypes: list) ->
             parts = [[unplanes(p, d) for p, d in zip(_split(blob), dtypes)] for _, _, blob in own]
             sizes = [len(p[0]) for p in parts]
             columns = [np.concatenate([p[i] for p in parts]) for i in range(len(dtypes))]
-            codes = resolve(np.repeat(np.arange(len(own), dtype=np.int32), sizes), *columns).astype(np.uint8)
+            codes = resolve(np.repeat(np.arange(len(own), dtype=np.int32), sizes), *columns)
             ends = np.cumsum(sizes)
-            yield out([(block, bucket, CODES, planes(codes[e - n : e])) for (_, block, _), n, e in zip(own, sizes, ends)])
+            pack = planes if codes.dtype == np.uint8 else packed_ranks
+            yield out([(block, bucket, CODES, pack(codes[e - n : e])) for (_, block, _), n, e in zip(own, sizes, ends)])
 
     def out(rows):
         kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
@@ -156,6 +166,30 @@ def answered(asked: DataFrame, buckets: int, resolve: Resolver, dtypes: list) ->
     return asked.repartitionById(buckets, F.col("bucket")).mapInArrow(answer, _ANSWER)
 
 
+def packed_ranks(ranks: np.ndarray) -> bytes:
+    """uint32 numbers, 0 or rising: which are 0, and the steps of the others."""
+    some = ranks > 0
+    return _join([len(ranks).to_bytes(8, "little"), planes(np.packbits(some)), planes(np.diff(ranks[some], prepend=np.uint32(0)))])
+
+
+def replied_ranks(table: pa.Table) -> tuple[np.ndarray, bytes | None]:
+    """As replies, of ranks: the bucket's number from 1 in the upper half, its own number in the lower; 0 stays."""
+    found, state = [], None
+    for row in table.to_pylist():
+        if row["what"] == STATE:
+            state = row["blob"]
+        else:
+            found.append((row["at"], row["blob"]))
+    ranks = []
+    for bucket, blob in sorted(found):
+        size, some, steps = _split(blob)
+        mask = np.unpackbits(unplanes(some, np.uint8))[: int.from_bytes(size, "little")].astype(bool)
+        own = np.zeros(len(mask), np.uint64)
+        own[mask] = (np.cumsum(unplanes(steps, np.uint32), dtype=np.uint64)) + (np.uint64(bucket + 1) << np.uint64(32))
+        ranks.append(own)
+    return np.concatenate([np.zeros(0, np.uint64), *ranks]), state
+
+
 def replies(table: pa.Table) -> tuple[np.ndarray, bytes | None]:
     """The codes for a block's fingerprints in their order, and the state that it sent along."""
     codes, state = [], None

@@ -75,14 +75,29 @@ def test_slices_do_not_change_the_result(monkeypatch):
     rows = made_up(seed=2, n=30)
     table = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})
     whole = suffix_dedup.Block(table, 40)
-    positions = lambda b: {p: a for lo, hi, a in zip(b.low, b.high, b.anchor) for p in range(lo, hi + 1)}
-    want, ranks = positions(whole), whole.ranks(whole.anchor, whole.lengths[-1])
-    by_anchor = dict(zip(whole.anchor.tolist(), ranks.tolist()))
+    want = whole.first_ranks()
     for module in (exchange, suffix_dedup, substring_dedup):
         monkeypatch.setattr(module, "SLICE", 64)
     cut = suffix_dedup.Block(table, 40)
-    assert positions(cut) == want
-    assert all(by_anchor[a] == r for a, r in zip(cut.anchor.tolist(), cut.ranks(cut.anchor, cut.lengths[-1]).tolist()))
+    assert all((getattr(cut, x) == getattr(whole, x)).all() for x in ("low", "high", "anchor", "nodes", "valid"))
+    assert (cut.first_ranks() == want).all()
+
+
+def test_equal_strings_take_equal_steps():
+    r = random.Random(8)
+    text = "".join(r.choice("abcd ") for _ in range(3000))
+    texts = [text[:900], "xy" + text[300:1500], text[299:2000] + "z", "a" * 700]
+    block = suffix_dedup.Block(pa.table({"doc_id": list(range(4)), "text": texts}), 120)
+    node = np.searchsorted(block.nodes, block.anchor)
+    assert block.valid[node].all() and (block.nodes[node] == block.anchor).all()
+    steps, seen = block.steps(node), {}
+    assert steps.min() >= suffix_dedup.START and steps.max() == suffix_dedup.MOST
+    for lo, a, n, k in zip(block.low, block.anchor, steps, node):
+        ends = [int(block.places[block.after(np.array([k]), np.array([j]))[0]] - a) for j in range(n)]
+        assert ends[-1] + block.reach <= block.shared
+        content = bytes(block.body[a : a + block.shared])
+        assert seen.setdefault(content, (n, ends)) == (n, ends)
+    assert len(seen) < len(steps)
 
 
 def test_nothing_to_remove_from(spark):
