@@ -1,12 +1,14 @@
 r"""Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
 Base spans come from four patterns over whole texts, in code points. They seed the bootstrap: each base span, and each
-run of digits or token with a digit or an at sign that is clear of them, is an instance with its whole value; the word
-before it is its pattern, and the pairs of both form a graph. Rounds score it: a
-pattern's confidence for a kind is the mean score of its distinct instances, damped; an instance's score is that of its
-best pattern, 1 for seeds. Patterns of high confidence and enough seeds then mark further instances of their kind that
-look like identifiers of it. These never replace base spans. A run that is too long for the kind counts by its first
-token.
+run of digits or token with a digit or an at sign that is clear of them, is an instance with its whole value. Its
+patterns are the one, two and three words before it, the word after it, and the words on both sides, in lower case and
+with all numbers alike; they end at other instances of its sort, so they never lie inside one. Pairs of pattern and
+instance form a graph. Rounds score it: a pattern's confidence for a kind is the mean score of its distinct instances,
+damped; an instance's score is that of its best pattern, 1 for seeds. An instance that looks like an identifier of the
+kind and is found by a pattern of high confidence and enough support counts as a seed for the patterns of the next
+round. The patterns of the last round mark further instances of their kind. These never replace base spans. A run that is
+too long for the kind counts by its first token.
 
 The patterns are written so that they match the same text as the plain ones but never step back: a run is
 entered at its start or at the end of the last match only, and taken whole.
@@ -36,23 +38,24 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 #: Digits in groups, as phones and cards are written, up to the end of a token but for its punctuation.
 RUN = r"[+(]{0,2}+[0-9]++(?:(?:[.-]|\x20?\(|\x20|\)[\x20-]?)[0-9]++)*+(?=\p{Punct}*+(?:\s|\z))"
-#: Such runs, or else tokens with a digit or at sign, after a word of at most 32 characters.
-INSTANCE = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])(?<=(?<!\S)(\S{1,32})\s)(?:" + RUN + r"|\S++)"
-#: Takes nothing, and has the word before a base span, behind which brackets or quotes may open, or that joins it.
-CONTEXT = r"(?:(?<=(?<!\S)(\S{0,31}[^\s(\"'<\[{])(?:\s[(\"'<\[{]{0,2}|))|)"
-#: What comes before CONTEXT in a base pattern, so that it is looked for at matches only.
-ENTRY = {"email": r"(?:(?<![A-Za-z0-9._%+-])|\G)(?=[A-Za-z0-9._%+-]++@)", "ip": r"(?:(?<![0-9])|\G)(?=[0-9]++\.[0-9])", "card": "(?=[0-9])", "phone": r"(?=\+[0-9])"}
+#: Such runs, or else tokens with a digit or at sign.
+INSTANCE = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])(?:" + RUN + r"|\S++)"
+#: Characters on each side of an instance in which its patterns' words are looked for.
+AROUND = 64
+#: What may open between the word before and the instance, and close after it.
+OPENING, CLOSING = r"[(\"'<\[{=:]+$", r"^[)\"'>\]},.;:!?]+"
 
 ROUNDS, DAMPING = 3, 2.0
-#: A pattern's least confidence, and its least number of distinct seeds.
+#: A pattern's least confidence, and its least number of distinct seeds or instances found so far.
 CONFIDENCE, SUPPORT = 0.8, 5
-#: A discovered identifier has at least so many characters and digits; an e-mail needs no digits if it has an at sign within.
-LEAST_LENGTH, LEAST_DIGITS = 6, 4
+#: A discovered identifier has at least so many characters, and digits by kind; an e-mail needs no digits if it has an
+#: at sign within.
+LEAST_LENGTH, LEAST_DIGITS = 6, {"email": 4, "ip": 4, "card": 12, "phone": 6}
 #: A discovered run of several tokens has at most so many digits; 0: no such runs.
 MOST_DIGITS = {"email": 0, "ip": 0, "card": 19, "phone": 15}
 
 _SPANS = "array<struct<start:int,end:int,value:string>>"
-_INSTANCES = "array<struct<start:int,end:int,value:string,context:string>>"
+_INSTANCES = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
 
 
 def _with(value: Column, f) -> Column:
@@ -131,14 +134,36 @@ def base_spans(text: Column, kind: str) -> Column:
     return _needed(text, kind, _located(text, PATTERNS[kind]), _SPANS)
 
 
-def _with_context(spans: Column, contexts: Column) -> Column:
-    return F.zip_with(spans, contexts, lambda s, c: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lower(c).alias("context")))
+def _surrounded(text: Column, pattern: str) -> Column:
+    """The matches with what is before and after each, up to the next match of the pattern."""
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.struct(F.substring(g, 1, AROUND).alias("head"), F.substring(g, -AROUND, AROUND).alias("tail")))
+
+    def joined(m: Column) -> Column:
+        sides = F.zip_with(F.slice(m["gaps"], 1, F.size(m["spans"])), F.slice(m["gaps"], 2, F.size(m["spans"])), lambda x, y: F.struct(x["tail"].alias("tail"), y["head"].alias("head")))
+        return F.zip_with(m["spans"], sides, lambda s, c: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), c["tail"].alias("before"), c["head"].alias("after")))
+
+    none = F.array().cast(_INSTANCES)
+    return _with(F.struct(_located(text, pattern).alias("spans"), gaps.alias("gaps")), lambda m: F.when(F.size(m["spans"]) > 0, joined(m)).otherwise(none))
 
 
 def _seeds(text: Column, kind: str) -> Column:
-    """The kind's base spans with the word before each, in lower case; empty if there is none of at most 32 characters."""
-    contexts = F.regexp_extract_all(text, F.lit(ENTRY[kind] + CONTEXT + PATTERNS[kind]), F.lit(1))
-    return _needed(text, kind, _with_context(_located(text, PATTERNS[kind]), contexts), _INSTANCES)
+    """The kind's base spans with what is around them."""
+    return _needed(text, kind, _surrounded(text, PATTERNS[kind]), _INSTANCES)
+
+
+def contexts(before: Column, after: Column) -> Column:
+    """The patterns of an instance by the text on both sides of it."""
+    even = lambda c: F.regexp_replace(F.lower(c), "[0-9]+", "0")
+    words = lambda c: F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
+    left, right = words(F.regexp_replace(even(before), r"(?U)" + OPENING, "")), words(F.regexp_replace(even(after), CLOSING, ""))
+
+    def of(s: Column) -> Column:
+        last = [F.when(F.size(s["l"]) >= n, F.concat(F.lit("before "), F.array_join(F.slice(s["l"], -n, n), " "))) for n in (1, 2, 3)]
+        next_ = F.when(F.size(s["r"]) >= 1, F.concat(F.lit("after "), F.get(s["r"], F.lit(0))))
+        both = F.when((F.size(s["l"]) >= 1) & (F.size(s["r"]) >= 1), F.concat_ws(" ", F.lit("between"), F.element_at(s["l"], -1), F.get(s["r"], F.lit(0))))
+        return F.array_compact(F.array(*last, next_, both))
+
+    return _with(F.struct(left.alias("l"), right.alias("r")), of)
 
 
 def _ranked(spans: str, kind: int) -> Column:
@@ -155,30 +180,32 @@ def all_base_spans(text: Column) -> Column:
 
 
 def _instances(text: Column) -> Column:
-    """start, end, value and the word before, in lower case, of each run of digits or token with a digit or at sign."""
-    found = _with_context(_located(text, INSTANCE), F.regexp_extract_all(text, F.lit(INSTANCE), F.lit(1)))
-    return F.when(F.coalesce(text.rlike("[0-9@]"), F.lit(False)), found).otherwise(F.array().cast(_INSTANCES))
+    """Runs of digits and tokens with a digit or at sign, with what is around each."""
+    return F.when(F.coalesce(text.rlike("[0-9@]"), F.lit(False)), _surrounded(text, INSTANCE)).otherwise(F.array().cast(_INSTANCES))
 
 
-def scored_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """context, kind, confidence and seeds of each pattern; edges has context, value and kind (null: no seed)."""
+def scored_patterns(edges: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+    """context, kind, confidence and seeds (distinct ones, and instances found in earlier rounds) of each pattern; edges
+    has context, value and kind (null: no seed)."""
     graph = saved(edges.groupBy("context", "value").agg(F.min("kind").alias("kind")))
     sizes = graph.groupBy("context").agg(F.count("*").alias("n"))
-    seeds = graph.filter("kind is not null").groupBy("value").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0))
+    seeds = graph.filter("kind is not null").groupBy("value").agg(F.min("kind").alias("kind")).select("value", "kind", F.lit(1.0).alias("score"), F.lit(True).alias("sure"))
     scores = seeds
     plain = graph.select("context", "value")
     for k in range(rounds):
-        patterns = plain.join(scores, "value").groupBy("context", "kind").agg(F.sum("score").alias("sum"), F.count_if(F.col("score") == 1.0).alias("seeds")).join(sizes, "context")
+        patterns = plain.join(scores, "value").groupBy("context", "kind").agg(F.sum("score").alias("sum"), F.count_if("sure").alias("seeds")).join(sizes, "context")
         patterns = saved(patterns.select("context", "kind", (F.col("sum") / (F.col("n") + DAMPING)).alias("confidence"), "seeds"))
         if k + 1 < rounds:
-            best = plain.join(patterns.filter("confidence >= 0.5"), "context").groupBy("value", "kind").agg(F.max("confidence").alias("score"))
-            scores = saved(seeds.unionByName(best.join(seeds.select("value"), "value", "left_anti")))
+            strong = (F.col("confidence") >= confidence) & (F.col("seeds") >= support)
+            found = plain.join(patterns.filter("confidence >= 0.5"), "context").groupBy("value", "kind").agg(F.max("confidence").alias("score"), F.bool_or(strong).alias("sure"))
+            found = found.withColumn("sure", F.col("sure") & _like(F.col("value"), F.col("kind"))).withColumn("score", F.when(F.col("sure"), 1.0).otherwise(F.col("score")))
+            scores = saved(seeds.unionByName(found.join(seeds.select("value"), "value", "left_anti")))
     return patterns
 
 
 def _of_kind(instances, kind: int | None) -> Column:
     """The instances with the kind's rank."""
-    return F.transform(instances, lambda s: F.struct(*(s[c].alias(c) for c in ("start", "end", "value", "context")), F.lit(kind).cast("int").alias("kind")))
+    return F.transform(instances, lambda s: F.struct(*(s[c].alias(c) for c in ("start", "end", "value", "before", "after")), F.lit(kind).cast("int").alias("kind")))
 
 
 def _fitting(value: Column, kind: Column) -> Column:
@@ -189,7 +216,7 @@ def _fitting(value: Column, kind: Column) -> Column:
 
 def _like(value: Column, kind: Column) -> Column:
     """Whether it looks like an identifier of the kind."""
-    digits = F.char_length(_digits(value)) >= LEAST_DIGITS
+    digits = F.char_length(_digits(value)) >= F.element_at(F.array(*(F.lit(LEAST_DIGITS[k]) for k in KINDS)), kind + 1)
     return (F.char_length(value) >= LEAST_LENGTH) & F.when(kind == KINDS.index("email"), digits | value.rlike(r"[^\s@]@[^\s@]")).otherwise(digits)
 
 
@@ -203,10 +230,12 @@ def find(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE,
     rows = saved(rows)
 
     free = F.filter("instances", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
-    seen = rows.select("__row", F.explode(F.concat("seeds", _of_kind(free, None))).alias("i")).select("__row", "i.*").filter("context != ''")
-    patterns = scored_patterns(seen.select("context", "value", "kind"), rounds)
-    strong = patterns.filter((F.col("confidence") >= confidence) & (F.col("seeds") >= support)).groupBy("context").agg(F.min("kind").alias("found"))
-    more = seen.filter("kind is null").join(strong, "context").withColumn("value", _fitting(F.col("value"), F.col("found"))).filter(_like(F.col("value"), F.col("found")))
+    seen = rows.select("__row", F.explode(F.concat("seeds", _of_kind(free, None))).alias("i")).select("__row", "i.*")
+    seen = seen.select("__row", "start", "value", "kind", F.explode(contexts(F.col("before"), F.col("after"))).alias("context"))
+    patterns = scored_patterns(seen.select("context", "value", "kind"), rounds, confidence, support)
+    strong = patterns.filter((F.col("confidence") >= confidence) & (F.col("seeds") >= support)).groupBy("context").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("order"))).alias("best"))
+    hits = seen.filter("kind is null").join(strong, "context").groupBy("__row", "start", "value").agg(F.max("best").alias("best"))
+    more = hits.withColumn("found", -F.col("best.order")).withColumn("value", _fitting(F.col("value"), F.col("found"))).filter(_like(F.col("value"), F.col("found")))
     more = more.withColumn("end", F.col("start") + F.char_length("value")).groupBy("__row").agg(F.collect_list(F.struct(F.col("found").alias("kind"), "start", "end")).alias("more"))
     return rows.join(more, "__row", "left").select("doc_id", *(f"n_{k}" for k in KINDS), "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more"))).alias("spans"))
 

@@ -127,6 +127,58 @@ def test_bootstrap_takes_whole_entities(spark):
     assert [found[100 + k] for k in range(len(unseen))] == ["phone:5:19", "card:5:24", "email:5:18", "", "", "card:5:22"]
 
 
+def test_instances_found_induce_patterns(spark):
+    """`visa` finds cards that fail the checksum; those stand before `expires` as well, which then finds others."""
+    card = lambda k: next(str(n) for n in range(4 * 10**15 + 977 * k, 9 * 10**15) if luhn(str(n)))
+    wrong = lambda k: str(int(card(k)) // 10 * 10 + (int(card(k)) + 1) % 10)
+    rows = [(k, f"w{k} visa {card(k)} thanks{k}") for k in range(160)]
+    rows += [(1100 + k, f"v{k} visa {wrong(k + 500)} expires soon{k}") for k in range(30)]
+    rows += [(1200 + k, f"u{k} {wrong(k + 900)} expires") for k in range(2)] + [(1300, f"here {wrong(999)} there")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x.doc_id: x.spans for x in pii.digest(pii.find(docs)).collect()}
+    assert all(found[1100 + k].startswith("card:") for k in range(30))
+    assert [found[1200], found[1201], found[1300]] == ["card:3:19", "card:3:19", ""]
+    once = {x.doc_id: x.spans for x in pii.digest(pii.find(docs, rounds=1)).collect()}
+    assert once[1100] == found[1100] and once[1200] == ""
+
+
+def graph_scores(edges, rounds):
+    """pii.scored_patterns by dictionaries."""
+    graph, kinds = {}, {}
+    for c, v, k in edges:
+        graph.setdefault(c, set()).add(v)
+        if k is not None:
+            kinds[v] = min(k, kinds.get(v, k))
+    score, sure = {(v, k): 1.0 for v, k in kinds.items()}, set(kinds.items())
+    for _ in range(rounds):
+        own = {}
+        for c, values in graph.items():
+            for v, k in score:
+                if v in values:
+                    total, seeds = own.get((c, k), (0, 0))
+                    own[c, k] = total + score[v, k], seeds + ((v, k) in sure)
+        patterns = {(c, k): (s / (len(graph[c]) + pii.DAMPING), n) for (c, k), (s, n) in own.items()}
+        score, sure = {(v, k): 1.0 for v, k in kinds.items()}, set(kinds.items())
+        for (c, k), (x, n) in patterns.items():
+            for v in graph[c] if x >= 0.5 else ():
+                if v not in kinds:
+                    score[v, k] = max(x, score.get((v, k), 0))
+                    if x >= pii.CONFIDENCE and n >= pii.SUPPORT and len(v) >= 6 and sum(ch.isdigit() for ch in v) >= list(pii.LEAST_DIGITS.values())[k]:
+                        sure.add((v, k))
+        for x in sure:
+            score[x] = 1.0
+    return patterns
+
+
+def test_scores_of_a_graph(spark):
+    r = random.Random(11)
+    edges = [(f"c{r.randrange(12)}", f"{r.randrange(10**7, 10**7 + 60)}", r.choice([2, 2, 2, 3, None])) for _ in range(500)]
+    edges += [("good", str(10**9 + k), 2) for k in range(30)] + [("good", str(2 * 10**9 + k), None) for k in range(3)] + [("next", str(2 * 10**9 + k), None) for k in range(3)]
+    got = pii.scored_patterns(spark.createDataFrame(edges, "context string, value string, kind int"), rounds=3).collect()
+    want = graph_scores(edges, 3)
+    assert {(x.context, x.kind): (round(x.confidence, 9), x.seeds) for x in got} == {k: (round(x, 9), n) for k, (x, n) in want.items()}
+
+
 def test_redaction(spark):
     rows = [(1, "é x@y.zz and +1 (743) 555-3824!"), (2, "clean"), (3, None), (4, "4539578763621486")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
