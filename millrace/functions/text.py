@@ -122,6 +122,36 @@ def chunk_id(doc_type: Column, source_file: Column, n: Column) -> Column:
     return F.concat_ws("_", doc_type, clean, F.lpad(F.hex(F.crc32(source_file.cast("binary"))), 8, "0"), n.cast("string"))
 
 
+def entity_id(file_name: Column) -> Column:
+    return F.concat(F.lit("entity_"), F.regexp_replace(file_name, r"\.[a-z]+$", ""))
+
+
+def policy_chunk_id(carrier: Column, n: Column) -> Column:
+    return F.concat(carrier, F.lit("_chunk_"), n.cast("string"))
+
+
+def datasheet(lines: Column) -> Column:
+    """A data sheet's lines as one."""
+    return F.array_join(lines, " ")
+
+
+def checked_patterns(spark, profile: dict) -> dict:
+    """rule_pattern and cross_ref_pattern of a profile, tried on the driver: a cross-reference pattern that Java can't
+    compile gives way to the rule pattern; a rule pattern that it can't compile is an error."""
+
+    def compiles(pattern: str) -> bool:
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(pattern)
+        except Exception:
+            return False
+        return True
+
+    rule, other = profile["rule_pattern"], profile.get("cross_ref_pattern") or profile["rule_pattern"]
+    if not compiles(rule):
+        raise ValueError(f"not a pattern: {rule}")
+    return {"rule_pattern": rule, "cross_ref_pattern": other if compiles(other) else rule}
+
+
 def acronyms(text: Column) -> Column:
     """Sorted distinct `ACRONYM: meaning`, from four forms of definition."""
 

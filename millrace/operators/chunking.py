@@ -213,7 +213,7 @@ def keyword_headers(doc_type: str, size: int = 2500) -> Chunker:
     def enter(now: Context, said: tuple) -> None:
         now.rule = now.subsection = now.section = said[0]
 
-    return Chunker(_title(doc_type), size, 50, [Boundary(find, enter, 50)], natural=True, force=False, join=" ", prepare=collapsed)
+    return Chunker(_title(doc_type), size, 50, [Boundary(find, enter, 50)], natural=True, force=False, join=" ", prepare=lambda whole: collapsed(collapsed(whole)))  # twice: joined words may be spaced letters again
 
 
 def _title(doc_type: str) -> str:
@@ -225,13 +225,14 @@ def chunker_for(doc_type: str, profile: dict | None = None) -> Chunker:
     if profile is None:
         fixed_table = {"integrated_rules": integrated_rules, "core_rules": core_rules, "errata": errata, "scenario_errata": errata, "scenarios": scenarios}
         return fixed_table[doc_type]() if doc_type in fixed_table else by_size(doc_type)
+    spaced = profile.get("rule_schema") == "keyword_header"  # scanned books: spaced letters are joined in texts of all types
+    if doc_type in fixed.RULE_TYPES and spaced:
+        return keyword_headers(doc_type, profile.get("chunk_size") or 2500)
     if doc_type in fixed.RULE_TYPES:
-        if profile.get("rule_schema") == "keyword_header":
-            return keyword_headers(doc_type, profile.get("chunk_size") or 2500)
         return rules_by_pattern(doc_type, profile.get("rule_pattern") or fixed.RULE_NUMBER)
-    if doc_type in fixed.SCENARIO_TYPES:
-        return scenarios_by_format(profile.get("scenario_format") or "named")
-    return by_size(doc_type)
+    found = scenarios_by_format(profile.get("scenario_format") or "named") if doc_type in fixed.SCENARIO_TYPES else by_size(doc_type)
+    found.prepare = collapsed if spaced else None
+    return found
 
 
 def folded(docs: DataFrame, profile: dict | None = None) -> DataFrame:

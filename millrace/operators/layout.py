@@ -20,6 +20,11 @@ def is_number() -> Column:
     return F.col("text").rlike(r"^\d+$")
 
 
+def first_unit(spans: DataFrame) -> DataFrame:
+    """The spans with text that end above height 265: those of the first unit of a sheet. The functions below take these."""
+    return spans.withColumn("text", F.trim("text")).filter((F.col("text") != "") & (F.col("y1") < fixed.UNIT_HEIGHT))
+
+
 def names(spans: DataFrame) -> DataFrame:
     """doc and name: the leftmost span to the right of the first with `Type:` and at most 10 off its height."""
     mark = spans.filter(F.col("text").contains("Type:")).groupBy("doc").agg(F.min_by(F.struct("x1", yc().alias("yc")), "seq").alias("t"))
@@ -35,7 +40,8 @@ def thrust(spans: DataFrame) -> DataFrame:
 
 
 def armour(spans: DataFrame) -> DataFrame:
-    """doc, facing and sf: the first number between heights 15 and 35 whose centre is in the facing's range, or 0."""
+    """doc, facing, sf, width and depth: the first number between heights 15 and 35 whose centre is in the facing's range,
+    or 0."""
     spark = spans.sparkSession
     facings = F.broadcast(spark.createDataFrame(fixed.FACINGS, "facing string, x_min int, x_max int"))
     numbers = spans.filter(is_number() & (F.col("y0") > 15) & (F.col("y0") < 35)).join(facings, xc().between(F.col("x_min"), F.col("x_max")))
@@ -76,6 +82,24 @@ def grid(spans: DataFrame, x_min: float, x_max: float, width: int, depth: int =
     return every.join(filled, ["doc", "column"], "left").select("doc", "column", F.slice(F.concat(texts, F.array_repeat(F.lit("Empty"), depth)), 1, depth).alias("cells"))
 
 
+def entities(spans: DataFrame) -> DataFrame:
+    """One row for each sheet (doc) that has spans of a first unit: entity_type, name, attributes, grids, and its weapons and
+    missiles."""
+    own = first_unit(spans)
+    armoured = armour(own).select("doc", "facing", F.struct(F.col("sf").alias("SF"), F.lit(10).alias("Width"), F.col("sf").alias("Depth"), F.lit(None).cast("array<array<string>>").alias("Columns")).alias("g"))
+    kind = armoured.schema["g"].dataType.simpleString()
+    inside = [grid(own, a, b, w).groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("column", "cells"))), lambda c: c["cells"]).alias("c")).select("doc", F.lit(name).alias("facing"), F.struct(F.lit(None).cast("int").alias("SF"), F.lit(w).alias("Width"), F.lit(None).cast("int").alias("Depth"), F.col("c").alias("Columns")).cast(kind).alias("g")) for name, a, b, w in fixed.GRIDS]
+    for g in inside:
+        armoured = armoured.unionByName(g)
+    grids = armoured.groupBy("doc").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("facing", "g")), lambda x, y: F.when(x["facing"] < y["facing"], -1).otherwise(1))).alias("grids"))
+    arms = weapons(own).groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "half", "name", "location", "damage", "range"))), lambda w: F.struct(w["name"].alias("Name"), w["location"].alias("Location"), w["damage"].alias("Damage"), w["range"].alias("Range"))).alias("Weapons"))
+    rockets = missiles(own).groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("type", "count"))), lambda m: F.struct(m["type"].alias("Type"), m["count"].alias("Count"))).alias("Missiles"))
+    rows = own.select("doc").distinct().join(names(own), "doc", "left").join(thrust(own), "doc", "left").join(grids, "doc", "left").join(arms, "doc", "left").join(rockets, "doc", "left")
+    attributes = F.when(F.col("max_thrust").isNotNull(), F.create_map(F.lit("Maximum Thrust"), F.col("max_thrust").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    none = {"Weapons": "array<struct<Name:string,Location:string,Damage:string,Range:string>>", "Missiles": "array<struct<Type:string,Count:int>>"}
+    return rows.select("doc", F.lit("vehicle").alias("entity_type"), F.coalesce("name", F.lit("Unknown")).alias("name"), attributes.alias("attributes"), "grids", F.struct(*(F.coalesce(c, F.array().cast(t)).alias(c) for c, t in none.items())).alias("collections"))
+
+
 def entity_text(name: Column, kind: Column, attributes: Column, grids: Column, arms: Column, rockets: Column) -> Column:
     """The entity as lines of text. attributes: map of strings; grids: map of struct SF, Width; arms: array of struct
     Name, Location, Damage, Range; rockets: array of struct Type, Count. Missing parts are left out."""

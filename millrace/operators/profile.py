@@ -36,9 +36,10 @@ def by_content(title: Column) -> Column:
     return text.first_match(F.lower(title), fixed.CONTENT_RULES)
 
 
-def classified(files: DataFrame) -> DataFrame:
-    """files (source_file, title) with doc_type, priority, description and edition: by name, by content, or unknown."""
-    both = F.coalesce(by_file_name(F.col("source_file")), by_content(F.coalesce("title", F.lit(""))))
+def classified(files: DataFrame, model: Column | None = None) -> DataFrame:
+    """files (source_file, title) with doc_type, priority, description and edition: by name, by content, by what a model
+    says (a struct of doc_type and priority, null if it can't tell), or unknown."""
+    both = F.coalesce(by_file_name(F.col("source_file")), by_content(F.coalesce("title", F.lit(""))), *([] if model is None else [model]))
     kind = F.coalesce(both["doc_type"], F.lit("unknown"))
     stem = F.regexp_replace(F.lower("source_file"), r"\.[a-z0-9]+$", "")
     defaults = F.create_map(*(F.lit(x) for p in fixed.PRIORITIES.items() for x in p))
@@ -55,6 +56,28 @@ def page_cap(size_mb: Column, doc_type: Column) -> Column:
     )
 
 
+def known_documents(files: DataFrame) -> DataFrame:
+    """files (source_file) with doc_type, priority and description from the fixed table, null for others."""
+    table = files.sparkSession.createDataFrame(fixed.DOCUMENTS, "source_file string, doc_type string, priority int, description string")
+    return files.join(F.broadcast(table), "source_file", "left")
+
+
+def sampled_pages(pages: DataFrame, numbers: list[int] | None = None, most: int = 2000) -> DataFrame:
+    """Of each file's pages (source_file, page from 1, text): those of the given numbers, else the first four, the 11th or
+    the last, and those after a quarter and a half of all; their texts cut to `most` characters."""
+    n = F.col("n")
+    at = [F.lit(k) for k in numbers] if numbers is not None else [*(F.lit(k) for k in (1, 2, 3, 4)), F.least(F.lit(11), n), F.floor(n / 4) + 1, F.floor(n / 2) + 1]
+    last = pages.groupBy("source_file").agg(F.max("page").alias("n"))
+    spots = last.select("source_file", F.explode(F.array_distinct(F.array(*(k.cast("int") for k in at)))).alias("page"))
+    text_ = F.substring(F.regexp_replace("text", r"(?U)^\s+|\s+$", ""), 1, most)
+    return pages.join(spots, ["source_file", "page"], "left_semi").select("source_file", "page", text_.alias("text"))
+
+
+def titles(pages: DataFrame, least: int = 50, most: int = 1500) -> DataFrame:
+    """source_file and title: the beginning of the first page with more than `least` characters."""
+    return pages.filter(F.char_length("text") > least).groupBy("source_file").agg(F.substring(F.min_by("text", "page"), 1, most).alias("title"))
+
+
 def carrier(file_name: Column) -> Column:
     names = F.create_map(*(F.lit(x) for p in fixed.CARRIERS.items() for x in p))
     return F.coalesce(names[file_name], F.upper(F.regexp_replace(file_name, r"\.pdf$", "")))
@@ -67,18 +90,26 @@ def patched(catalog: DataFrame, overrides: DataFrame) -> DataFrame:
     return joined.withColumns({c: F.coalesce(f"__{c}", c) for c in ("doc_type", "priority", "description")}).select(catalog.columns)
 
 
-def discovered(pages: DataFrame, game_name: str, sizes: DataFrame | None = None) -> dict:
+def discovered(pages: DataFrame, game_name: str, sizes: DataFrame | None = None, model: Column | None = None, keep=None) -> dict:
     """A profile from pages (source_file, page, text) and sizes (source_file, size_mb): schema, scenario format, catalog
-    and glossary candidates. Sampled are the first, middle and last page but one of each file, cut to 2000 characters."""
-    last = pages.groupBy("source_file").agg(F.max("page").alias("last"))
-    spots = F.array(F.lit(1), F.ceil(F.col("last") / 2).cast("int"), F.greatest(F.col("last") - 1, F.lit(1)))
-    samples = pages.join(last, "source_file").filter(F.array_contains(spots, F.col("page"))).select("source_file", "page", F.substring("text", 1, 2000).alias("text"))
-    titles = pages.filter(F.char_length("text") > 50).groupBy("source_file").agg(F.substring(F.min_by("text", "page"), 1, 1500).alias("title"))
-    schema = rule_schema(samples).orderBy(F.desc("hits"), "ord").first()
-    named = {n: (p, x) for n, p, x in fixed.RULE_SCHEMAS}
+    and glossary candidates, of which `keep` (a list of them) may choose."""
+    samples, last = sampled_pages(pages), pages.select("source_file").distinct()
+    votes = rule_schema(samples).orderBy(F.desc("hits"), "ord").collect()  # one row for each schema
+    schema, named = votes[0]["name"], {n: (p, x) for n, p, x in fixed.RULE_SCHEMAS}
     scenario = scenario_format(samples).orderBy(F.desc("hits"), "ord").first()
-    catalog = classified(last.select("source_file").join(titles, "source_file", "left"))
+    catalog = classified(last.join(titles(pages), "source_file", "left"), model)
     if sizes is not None:
         catalog = catalog.join(sizes, "source_file", "left").withColumn("max_pages", page_cap(F.col("size_mb"), F.col("doc_type")))
     candidates = pages.select(F.explode(text.acronyms(F.col("text"))).alias("candidate")).distinct()
-    return {"game_name": game_name, "rule_schema": schema["name"], "rule_pattern": named[schema["name"]][0], "cross_ref_pattern": named[schema["name"]][1], "scenario_format": scenario["name"], "scenario_confidence": scenario["confidence"], "catalog": catalog, "glossary_candidates": candidates}
+    game_id = pages.sparkSession.range(1).select(text.slug(F.lit(game_name)).alias("s")).first()["s"]
+    return {"game_name": game_name, "game_id": game_id, "rule_schema": schema, "rule_pattern": named[schema][0], "cross_ref_pattern": named[schema][1], "scenario_format": scenario["name"], "scenario_confidence": scenario["confidence"], "schema_detection_scores": {r["name"]: r["hits"] for r in votes}, "catalog": catalog, "glossary_candidates": candidates if keep is None else keep(candidates)}
+
+
+def profile_row(found: dict) -> DataFrame:
+    """The profile as one row, its documents and glossary as arrays: what a corpus has of both is small, and it is written
+    as one JSON object."""
+    documents = found["catalog"].agg(F.array_sort(F.collect_list(F.struct("source_file", "doc_type", "priority", "description"))).alias("documents"))
+    glossary = found["glossary_candidates"].agg(F.array_sort(F.collect_list("candidate")).alias("glossary"))
+    plain = {k: v for k, v in found.items() if isinstance(v, (str, float, int))}
+    scores = F.create_map(*(F.lit(x) for p in found["schema_detection_scores"].items() for x in p))
+    return documents.join(glossary).select(*(F.lit(v).alias(k) for k, v in plain.items()), scores.alias("schema_detection_scores"), "documents", "glossary")

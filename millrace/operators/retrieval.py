@@ -122,7 +122,7 @@ def answer_context(chunks: DataFrame, index: DataFrame, query: str, embed, class
     docs = ranked.withColumn("pos", F.row_number().over(Window.orderBy(*order)))
     if preset != "rules":
         docs = docs.filter(F.col("pos") <= 12)
-    refs = index_ops.chase(docs.filter(F.col("pos") <= 10) if preset != "rules" else docs, index, reference_pattern, fixed.RULE_TAG, entries=1 if preset == "rules" else 2)
+    refs = index_ops.chase(docs.filter(F.col("pos") <= 10) if preset != "rules" else docs, index, reference_pattern, fixed.RULE_TAG, entries=1 if preset == "rules" else 2, known=preset == "rules")
     chased = chunks.join(refs.select("chunk_id", F.col("pos").alias("__at")), "chunk_id")
     chased = chased.withColumn("pos", 10_000 + F.row_number().over(Window.orderBy("__at", "chunk_id"))).drop("__at")
     if preset != "rules":
@@ -140,5 +140,38 @@ def search_policies(chunks: DataFrame, query: str, embedding: list[float], carri
     return wide.withColumn("carrier_pos", F.min("pos").over(Window.partitionBy("carrier")))
 
 
-def listing_line(neighborhood: Column, room_type: Column, price: Column, rating: Column, review: Column) -> Column:
-    return F.format_string("- %s | %s | Price: $%s | Rating: %s | Review: %s", neighborhood, room_type, price.cast("string"), rating.cast("string"), review)
+def policy_context(hits: DataFrame, chunks: DataFrame, limit: int = 18_000) -> dict:
+    """What an answer about policies is written from: search_policies' hits in order of (carrier_pos, pos), then the pages
+    that they refer to, added until more than `limit` characters are there."""
+    head = F.format_string("--- %s | Section: %s | Page %d ---\n%s", "carrier", F.coalesce("section", F.lit("")), "page", "expanded")
+    own = hits.select("carrier_pos", "pos", F.lit(0).alias("ord"), "carrier", F.lit(False).alias("is_reference"), head.alias("text"))
+    refs = referenced_pages(hits, chunks).join(hits.select("chunk_id", "carrier_pos", "pos"), "chunk_id").groupBy("carrier", "ref_page").agg(F.min(F.struct("carrier_pos", "pos", "ord", "text")).alias("r"))
+    refs = refs.select("r.carrier_pos", "r.pos", "r.ord", "carrier", F.lit(True).alias("is_reference"), "r.text")
+    items = own.unionByName(refs).withColumn("n", F.row_number().over(Window.orderBy("is_reference", "carrier_pos", "pos", "ord", "carrier")))
+    kept = within_budget(items.withColumns({"size": F.char_length("text"), "pos": F.col("n")}), limit).filter("not is_reference or before <= %d" % limit)
+    every = items.filter("not is_reference").select("n", "carrier", "is_reference", "text").unionByName(kept.filter("is_reference").select("n", "carrier", "is_reference", "text"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"])
+    return {"items": every, "context": every.agg(F.array_join(lines, "\n").alias("context"))}
+
+
+def listing_line(key: Column, neighborhood: Column, room_type: Column, price: Column, rating: Column, review: Column) -> Column:
+    return F.format_string("- Listing %s in %s: %s at $%s (Rating: %s). Review: %s", key.cast("string"), neighborhood, room_type, price.cast("string"), rating.cast("string"), review)
+
+
+def search_listings(listings: DataFrame, embedding: list[float], price_max: float | None = None, rating_min: float | None = None, k: int = 3) -> DataFrame:
+    """The k listings nearest to a question among those that it allows, each as a line; the bounds are inclusive."""
+    found = vector.top_k(listings, embedding, k, where=vector.predicate(price__lte=price_max, rating__gte=rating_min), key="id")
+    line = listing_line(F.col("id"), F.col("neighborhood"), F.col("room_type"), F.col("price"), F.col("rating"), F.col("review_text"))
+    return found.select("id", "distance", line.alias("line"))
+
+
+def answer_listings(listings: DataFrame, query: str, embed, answer=None) -> dict:
+    """The listings that a question is about, the context that they make, and what `answer` (question, context) says."""
+    from ..functions import providers
+
+    asked = providers.listing_filters(F.lit(query))
+    price, rating = listings.sparkSession.range(1).select(asked.alias("f")).select("f.price_max", "f.rating_min").first()
+    rows = search_listings(listings, embed(query), price, rating)
+    lines = [r["line"] for r in rows.collect()]  # at most k
+    text = "\n".join(lines) if lines else fixed.NOTHING_FOUND["listings"]
+    return {"listings": rows, "context": text, "answer": answer(query, text) if answer else None}

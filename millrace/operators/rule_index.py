@@ -34,14 +34,15 @@ def lookup(index: DataFrame, wanted: DataFrame, each: int | None = None, limit:
     return first.withColumn("pos", F.row_number().over(Window.orderBy("at", "chunk_id"))).select("chunk_id", "pos")
 
 
-def chase(docs: DataFrame, index: DataFrame, reference_pattern: str, rule_tag: str, max_refs: int = 5, entries: int = 1) -> DataFrame:
-    """One hop along the references of docs (text, pos): the first max_refs that none of docs is about, each with its
-    first `entries` chunks: ref, chunk_id, pos."""
+def chase(docs: DataFrame, index: DataFrame, reference_pattern: str, rule_tag: str, max_refs: int = 5, entries: int = 1, known: bool = True) -> DataFrame:
+    """One hop along the references of docs (text, pos): the first max_refs, of those that none of docs is about if `known`
+    rules are left out, each with its first `entries` chunks: ref, chunk_id, pos."""
     from ..functions import text
 
     refs = docs.select("pos", F.posexplode(text.cross_references(F.col("text"), reference_pattern)).alias("at", "ref")).groupBy("ref").agg(F.min(F.struct("pos", "at")).alias("first"))
-    known = docs.select(F.regexp_extract("text", rule_tag, 1).alias("ref"))
-    new = refs.join(known, "ref", "left_anti").orderBy("first", "ref").limit(max_refs)
+    if known:
+        refs = refs.join(docs.select(F.regexp_extract("text", rule_tag, 1).alias("ref")), "ref", "left_anti")
+    new = refs.orderBy("first", "ref").limit(max_refs)
     return new.join(index.filter(F.col("rank") <= entries), new["ref"] == index["rule"]).select("ref", "chunk_id", F.struct("first", "rank").alias("pos"))
 
 

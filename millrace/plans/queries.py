@@ -484,3 +484,4 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return oversample_boost_topk(spark, d)
 
 
+from . import details  # noqa: E402, F401  registers its queries

@@ -34,11 +34,16 @@ def pages(docs: DataFrame) -> DataFrame:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """source_file, line_no from 0, line and the page that the last marker before it names."""
-    each = docs.select("source_file", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    marked = F.regexp_extract("line", r"^--- PAGE (\d+)", 1)
-    page = F.last(F.when(marked != "", marked.try_cast("int")), ignorenulls=True).over(Window.partitionBy("source_file").orderBy("line_no"))
-    return each.withColumn("page", F.coalesce(page, F.lit(1))).filter(marked == "")
+    """source_file, line_no from 0, line and the page that the last marker before it names. Pages are carried along within
+    each document, so nothing is shuffled."""
+    page = lambda x: F.regexp_extract(x, r"^--- PAGE (\d+)", 1)
+    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line_no"), x.alias("line"), F.when(page(x) != "", page(x).try_cast("int")).alias("mark")))
+    whole = docs.select("source_file", numbered.alias("l")).withColumn("m", F.filter("l", lambda x: x["mark"].isNotNull()))
+    # the marks split the lines: line i has the page of the last mark before it
+    at = F.transform("m", lambda x: x["line_no"])
+    parts = F.transform(F.sequence(F.lit(0), F.size("m")), lambda k: F.struct(F.when(k == 0, 1).otherwise(F.get("m", k - 1)["mark"]).alias("page"), F.when(k == 0, 0).otherwise(F.get(at, k - 1)).alias("first"), F.coalesce(F.get(at, k), F.size("l")).alias("end")))
+    each = whole.select("source_file", "l", F.explode(parts).alias("p")).select("source_file", F.col("p.page").alias("page"), F.explode(F.slice("l", F.col("p.first") + 1, F.greatest(F.col("p.end") - F.col("p.first"), F.lit(0)))).alias("x"))
+    return each.filter(page(F.col("x.line")) == "").select("source_file", "x.line_no", "x.line", "page")
 
 
 def page_text(native: Column, scanned: Column, least: int = 50) -> Column:
@@ -61,13 +66,23 @@ def triage(found: DataFrame) -> DataFrame:
 
 def listings(spark: SparkSession, path: str, limit: int | None = 500) -> DataFrame:
     """The first rows of a CSV file of listings, by id."""
-    rows = spark.read.csv(path, header=True, schema=LISTINGS)
+    rows = spark.read.csv(path, header=True, schema=LISTINGS, escape='"')
     return rows if limit is None else rows.orderBy("id").limit(limit)
 
 
 #: Fixed values of the generator.
-NEIGHBOURHOODS = ["Bondi", "Surry Hills", "Newtown", "Manly", "Darlinghurst", "Paddington"]
+NEIGHBOURHOODS = ["Manly", "Bondi", "Surry Hills", "Newtown", "Darlinghurst", "Parramatta"]
 ROOMS = ["Entire home/apt", "Private room", "Shared room"]
+REVIEWS = [
+    "A lovely, quiet neighborhood perfect for families. Close to the beach.",
+    "Very noisy and bustling, great for nightlife but hard to sleep.",
+    "Extremely clean and modern apartment with high-speed wifi.",
+    "A bit outdated but very affordable and cozy.",
+    "Luxury villa with a pool and ocean views. Incredible experience.",
+    "Basic room, clean but tiny. The host was very friendly.",
+    "Terrible experience, the place was dirty and loud.",
+    "Quiet and peaceful, the perfect romantic getaway.",
+]
 
 
 def made_up_listings(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
@@ -75,23 +90,23 @@ def made_up_listings(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
     h = lambda k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(10**6))
     pick = lambda xs, k: F.element_at(F.array(*map(F.lit, xs)), (h(k) % len(xs) + 1).cast("int"))
     ids = spark.range(1, n + 1).select(F.col("id").cast("int").alias("id"))
-    return ids.select("id", pick(NEIGHBOURHOODS, 1).alias("neighborhood"), pick(ROOMS, 2).alias("room_type"), (50 + h(3) % 75001 / 100).cast("decimal(10,2)").alias("price"), (2.5 + h(4) % 26 / 10).cast("decimal(3,1)").alias("rating"), F.concat(F.lit("Review "), "id").alias("review_text"))
+    return ids.select("id", pick(NEIGHBOURHOODS, 1).alias("neighborhood"), pick(ROOMS, 2).alias("room_type"), (50 + h(3) % 75001 / 100).cast("decimal(10,2)").alias("price"), (2.5 + h(4) % 26 / 10).cast("decimal(3,1)").alias("rating"), pick(REVIEWS, 5).alias("review_text"))
 
 
-def entities(spark: SparkSession, folder: str) -> DataFrame:
+def entities(spark: SparkSession, folder: str, glob: str = "*.json") -> DataFrame:
     """Entities of a folder of JSON files that are valid and have a name, with entity_id from the file's name."""
-    rows = spark.read.json(folder, multiLine=True, mode="PERMISSIVE", pathGlobFilter="*.json")
+    rows = spark.read.json(folder, multiLine=True, mode="PERMISSIVE", pathGlobFilter=glob, recursiveFileLookup=True)
     if "name" not in rows.columns:
         return rows.limit(0).withColumn("entity_id", F.lit(""))
-    file = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.json$", "")
+    file = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.[a-z]+$", "")
     return rows.withColumn("entity_id", F.concat(F.lit("entity_"), file)).filter("name is not null")
 
 
-def json_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def json_or_empty(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
     """The rows of a JSON file or folder, none if it isn't there."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(schema).json(path, multiLine=True) if there else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(path, multiLine=multi_line) if there else spark.createDataFrame([], schema)
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
