@@ -253,43 +253,24 @@ def page_carry(spark, d):
     return tables.lines(docs.withColumnRenamed("conv_id", "source_file")).select(F.col("source_file").alias("conv_id"), F.expr("cast(substring(line, 6) as bigint)").alias("turn"), "page")
 
 
-@query()
-def chunk_generic_2000(spark, d):
-    chunks = F.posexplode(chunking.sized_chunks(F.col("text"))).alias("n", "c")
-    return read(spark, d, "documents").select("doc_id", chunks).select("doc_id", "n", F.char_length("c.text").alias("n_chars"), F.md5("c.text").alias("hash"), F.col("c.page").alias("page"))
+#: A rule of a book with the page marker or section header before it, and a long stretch after one of them.
+_LINE = "concat(CASE WHEN p_partkey % 10 = 0 THEN concat('--- PAGE ', CAST(CAST(floor(p_partkey % 40 / 10) AS INT) + 2 AS STRING), ' ---', chr(10)) ELSE '' END, CASE WHEN p_partkey % 20 = 5 THEN concat(CAST(p_partkey % 29 AS STRING), '. MOVES AND FIRE', chr(10)) WHEN p_partkey % 20 = 9 THEN concat(CASE WHEN p_partkey % 40 = 9 THEN 'B. The farm' ELSE 'C: The mill' END, chr(10)) ELSE '' END, text, CASE WHEN p_partkey % 40 = 31 THEN concat(repeat(concat(chr(10), 'a plain line of some words that says little'), 40), chr(10), chr(8226), '.....', chr(10), 'Q. Is it so?', repeat(concat(chr(10), 'another plain line that says as much'), 75)) ELSE '' END)"
+_KINDS = ["integrated_rules", "core_rules", "errata", "scenarios", "primer"]
 
 
 def books(spark, d) -> DataFrame:
-    """Rule books: the rules of 40 parts each, on pages of 10."""
-    k = F.col("p_partkey")
-    line = F.concat(F.when(k % 10 == 0, F.concat(F.lit("--- PAGE "), (k % 40 / 10 + 2).cast("int").cast("string"), F.lit(" ---\n"))).otherwise(""), F.when(k % 20 == 5, F.concat((k % 29).cast("string"), F.lit(". MOVES AND FIRE\n"))).otherwise(""), F.col("text"))
-    book = F.concat(F.lit("book "), F.floor(k / 40).cast("string"))
-    kinds = F.array(*map(F.lit, ["integrated_rules", "core_rules", "errata", "scenarios", "primer"]))
-    rows = rules(spark, d).groupBy(book.alias("source_file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
-    kind = F.element_at(kinds, (F.pmod(F.crc32(F.col("source_file").cast("binary")), F.lit(5)) + 1).cast("int"))
-    return rows.withColumns({"doc_type": kind, "priority": (F.pmod(F.crc32(F.col("source_file").cast("binary")), F.lit(4)) + 1).cast("int")})
+    """Rule books: the rules of 40 parts each, on pages of 10, of five types."""
+    book = F.floor(F.col("p_partkey") / 40)
+    rows = rules(spark, d).withColumn("text", F.expr(_LINE.replace("chr(8226)", "'\u2022'"))).groupBy(book.alias("b")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("b") % 5 + 1).cast("int"))
+    return rows.select(F.concat(F.lit("book "), F.col("b").cast("string")).alias("source_file"), "text", kind.alias("doc_type"), (F.col("b") % 4 + 1).cast("int").alias("priority"))
 
 
-def chunks_of_books(spark, d) -> DataFrame:
-    return chunking.built(chunking.folded(books(spark, d)))
-
-
-@query()
-def chunk_books(spark, d):
-    return chunks_of_books(spark, d).withColumns({"cross_refs": F.array_join("cross_refs", ","), "all_rule_numbers": F.array_join("all_rule_numbers", ",")})
+BOOKS_SQL = f"""{_RULES}, books AS (SELECT concat('book ', p_partkey // 40) AS source_file, string_agg({_LINE}, chr(10) ORDER BY p_partkey) AS text, list_extract({_KINDS}, CAST(p_partkey // 40 % 5 + 1 AS INTEGER)) AS doc_type, CAST(p_partkey // 40 % 4 + 1 AS INTEGER) AS priority FROM r GROUP BY p_partkey // 40)"""
 
 
-@query()
-def chunk_by_pattern(spark, d):
-    found = chunking.folded(books(spark, d).withColumn("doc_type", F.lit("codex")), {"rule_schema": "numeric_decimal", "rule_pattern": fixed.RULE_NUMBER})
-    return found.withColumn("n_chars", F.char_length("text"))
-
-
-@query()
-def chunk_keyword_header(spark, d):
-    docs = read(spark, d, "part").groupBy((F.col("p_partkey") % 50).alias("g")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_type"))), lambda x: F.concat(F.initcap(x["p_name"]), F.lit("\n"), F.lit("the "), F.lower(x["p_type"]), F.lit(" is used here, see the rest.\n"))), "").alias("text"))
-    typed = docs.select(F.concat(F.lit("f"), "g").alias("source_file"), "text", F.lit("core_rules").alias("doc_type"), F.lit(1).alias("priority"))
-    return chunking.folded(typed, {"rule_schema": "keyword_header"}).withColumn("n_chars", F.char_length("text"))
+def chunks_of_books(spark, d) -> DataFrame:
+    return chunking.built(chunking.folded(books(spark, d)))
 
 
 @query(rf"""WITH {_RULES}, c AS (SELECT p_partkey, p_partkey % 4 + 1 AS priority, regexp_extract(text, '^(\d+\.\d+)', 1) AS own FROM r),
@@ -484,4 +465,4 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return oversample_boost_topk(spark, d)
 
 
-from . import details  # noqa: E402, F401  registers its queries
+from . import details, folds, searches  # noqa: E402, F401  they register their queries
