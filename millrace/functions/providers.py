@@ -77,14 +77,27 @@ def listing_filters(query: Column) -> Column:
     return F.struct(F.when(price != "", price.cast("double")).alias("price_max"), F.when(rating != "", rating.cast("double")).alias("rating_min"))
 
 
+def first_pages(text: Column, n: int = 3) -> Column:
+    """The first pages of a page-marked text, as one."""
+    parts = F.filter(F.split(text, "--- PAGE "), lambda p: p.rlike(r"\S"))
+    return F.array_join(F.slice(parts, 1, n), " ")
+
+
 def similar_text(a: Column, b: Column, threshold: float = 0.90) -> Column:
-    """Whether two texts, white space made even and in lower case, are alike by the ratio of their matching blocks."""
+    """Whether two texts, white space made even and in lower case, are alike by the ratio of their matching blocks; not if
+    either is null or blank. Texts whose lengths alone rule that out are not compared."""
+    even = lambda t: F.lower(F.trim(F.regexp_replace(F.coalesce(t, F.lit("")), r"(?U)\s+", " ")))
 
-    @F.udf(returnType="boolean", useArrow=True)
+    @F.pandas_udf("boolean")
     def alike(x, y):
+        import pandas as pd
         from difflib import SequenceMatcher
 
-        even = lambda t: re.sub(r"\s+", " ", t or "").strip().lower()
-        return SequenceMatcher(None, even(x), even(y)).ratio() >= threshold
+        def one(p: str | None, q: str | None) -> bool:
+            if not p or not q or 2 * min(len(p), len(q)) < threshold * (len(p) + len(q)):
+                return False
+            return p == q or SequenceMatcher(None, p, q).ratio() >= threshold
+
+        return pd.Series([one(p, q) for p, q in zip(x, y)], dtype=bool)
 
-    return alike(a, b)
+    return alike(even(a), even(b))

@@ -1,14 +1,23 @@
-"""Exact vector search with predicates, built from JVM functions on doubles."""
+"""Exact vector search with predicates: of one query by JVM functions on doubles, of many by matrix products."""
 
 from __future__ import annotations
 
+import pickle
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..functions import fixed, text
+from ..sources.shared import fresh_path
+
+#: Vectors that a task holds while it reads all blocks of queries.
+HELD_ROWS = 8192
 
 
 def _sum(a: Column, b: Column, f) -> Column:
@@ -54,18 +63,75 @@ def top_k(vectors: DataFrame, query: list[float], k: int, metric: str = "cosine"
 
 
 def multi_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding", digits: int = 6, most: int = 1000) -> DataFrame:
-    """The k nearest rows for each of queries (query_id, query), in waves of about `most` at most, by a hash of query_id,
-    for a wave is sent to every task."""
-    waves = max(1, -(-queries.count() // most))
-    own = queries.withColumn("__wave", F.pmod(F.xxhash64("query_id"), F.lit(waves)))
-
-    def scored(wave: int) -> DataFrame:
-        sent = F.broadcast(own.filter(F.col("__wave") == wave).drop("__wave"))
-        return vectors.crossJoin(sent).withColumn("distance", F.round(METRICS[metric](F.col(vector), F.col("query")), digits)).select("query_id", key, "distance")
-
+    """The k nearest rows for each of queries (query_id, query): query_id, key, distance and rank; ties go to the smaller
+    key. Executors write the queries as blocks of `most` to the shared folder; each task of the vectors reads one block
+    after another, scores a batch by one matrix product, and returns k rows for each query and HELD_ROWS vectors at most.
+    So the number of queries is not bounded, and no pair of a query and a vector is ever a row. Null vectors take no part."""
+    spark = vectors.sparkSession
+    folder = fresh_path(spark, "queries")
+    id_kind = queries.schema["query_id"].dataType
+
+    def blocks(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, most):
+                some = batch.slice(lo, most)
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((some.column(0).to_pylist(), np.array(some.column(1).to_pylist(), float)))], pa.binary())], names=["block"])
+
+    asked = queries.select("query_id", F.col("query").cast("array<double>").alias("query")).filter("query is not null")
+    asked.repartition(max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-asked.count() // most))), "query_id").mapInArrow(blocks, "block binary").write.parquet(folder)
+    schema = T.StructType([T.StructField("query_id", id_kind), vectors.schema[key], T.StructField("distance", T.DoubleType())])
+    own_kind, asked_kind = to_arrow_type(vectors.schema[key].dataType), to_arrow_type(id_kind)
+
+    def query_blocks():
+        from pyarrow import fs, parquet
+
+        store, path = fs.FileSystem.from_uri(folder)
+        for file in sorted(f.path for f in store.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")):
+            with store.open_input_file(file) as source:
+                for batch in parquet.ParquetFile(source).iter_batches(batch_size=1):
+                    yield pickle.loads(batch.column(0)[0].as_py())
+
+    def nearest(ids: pa.Array, x: np.ndarray):
+        order = ids.to_numpy(zero_copy_only=False)
+        order = order if order.dtype != object else order.astype(str)
+        for asked_ids, q in query_blocks():
+            dots = q @ x.T
+            if metric == "cosine":
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    found = 1 - dots / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None, :])
+            else:
+                found = (q * q).sum(1)[:, None] - 2 * dots + (x * x).sum(1)[None, :]
+            found = np.round(found, digits)
+            few = min(k, found.shape[1])
+            edge = np.partition(found, few - 1, axis=1)[:, few - 1]
+            rows, columns, values = [], [], []
+            for j in range(len(q)):
+                at = np.flatnonzero(~(found[j] > edge[j]))
+                at = at[np.lexsort((order[at], found[j, at]))[:few]]
+                rows += [asked_ids[j]] * len(at)
+                columns.append(at)
+                values.append(found[j, at])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, asked_kind), ids.take(pa.array(np.concatenate(columns))).cast(own_kind), pa.array(np.concatenate(values))], names=schema.names)
+
+    def scan(batches):
+        held: list[pa.RecordBatch] = []
+
+        def flush():
+            table = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            yield from nearest(table.column(0).chunk(0), np.array(table.column(1).to_pylist(), float))
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= HELD_ROWS:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    scored = vectors.select(key, F.col(vector).cast("array<double>").alias("__x")).filter("__x is not null").mapInArrow(scan, schema)
     order = Window.partitionBy("query_id").orderBy("distance", key)
-    best = [scored(i).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k) for i in range(waves)]
-    return reduce(DataFrame.unionByName, best)
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def oversampled(n: int) -> int:
@@ -83,13 +149,17 @@ def semantic_search(chunks: DataFrame, query: str, embedding: list[float], n: in
     return boosted(top_k(chunks, embedding, oversampled(n), where=where, key=key), F.lit(query), n, key, stop_words=stop_words)
 
 
-def approximate_top_k(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", vector: str = "embedding", width: float = 0.5, tables: int = 8, seed: int = 7) -> DataFrame:
-    """Candidates by random projections of the normalised vectors, ranked exactly. Recall is not guaranteed."""
-    import numpy as np
-
+def projections(dims: int, tables: int, width: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Directions and offsets of the tables, the same for the same seed."""
     r = np.random.default_rng(seed)
+    return r.normal(size=(tables, dims)), r.uniform(0, width, tables)
+
+
+def approximate_top_k(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", vector: str = "embedding", width: float = 0.5, tables: int = 8, seed: int = 7) -> DataFrame:
+    """Candidates that share a cell with the query in one of the tables of random projections of the normalised vectors,
+    ranked exactly. Recall is not guaranteed; a test measures it on the test tables."""
     q = np.asarray(query, float)
-    planes, shifts = r.normal(size=(tables, len(q))), r.uniform(0, width, tables)
+    planes, shifts = projections(len(q), tables, width, seed)
     own = np.floor((planes @ (q / (np.linalg.norm(q) or 1.0)) + shifts) / width).astype(int)
     norm = F.sqrt(_sum(F.col(vector), F.col(vector), lambda x, y: x * y))
     near = [F.floor((_sum(F.col(vector), F.lit(p.tolist()), lambda x, y: x * y) / norm + float(s)) / width) == int(o) for p, s, o in zip(planes, shifts, own)]

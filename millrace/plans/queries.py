@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, providers, text
 from ..operators import chunking, evaluation, layout, profile, retrieval, rule_index, vector
-from ..sources import tables
+from ..sources import collections, tables
+from ..sources.shared import fresh_path
 from ..streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,16 +86,9 @@ def l2_topk(spark, d):
     return vector.top_k(read(spark, d, "embeddings"), vector_of(spark, d, 0), 10, metric="l2").select("vec_id", "distance")
 
 
-@query("""SELECT query_id, vec_id, distance, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM
-          (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance FROM embeddings v, embeddings q WHERE q.vec_id < 5)) WHERE rank <= 6""")
-def multi_query_topk(spark, d):
-    own = read(spark, d, "embeddings")
-    return vector.multi_top_k(own, own.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 6)
-
-
 @query("""SELECT query_id, vec_id, distance, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM
           (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rank <= 6""")
-def multi_query_topk_all(spark, d):
+def multi_query_topk(spark, d):
     own = read(spark, d, "embeddings")
     return vector.multi_top_k(own, own.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 6)
 
@@ -152,9 +146,12 @@ def xref_extract(spark, d):
     return rules(spark, d).select("p_partkey", F.array_join(F.array_sort(text.cross_references(F.col("text"))), ",").alias("refs"))
 
 
-@query(rf"WITH {_RULES} SELECT p_partkey, CASE WHEN regexp_matches(text, '\n(?:Q\.|VARIANT:)') THEN CASE WHEN contains(upper(text), 'VARIANT:') THEN 'variant' ELSE 'qa' END ELSE 'rule' END AS content_type FROM r")
+_TYPED = "CASE p_partkey % 7 WHEN 0 THEN concat(p_name, chr(10), ' Q. why?') WHEN 1 THEN concat('Clarification: no', chr(10), 'CLARIFICATION: yes, a variant: too') WHEN 2 THEN concat('A. so', chr(10), 'VARIANT: b') WHEN 3 THEN concat('B. ', p_name) WHEN 4 THEN concat('a VARIANT: ', p_name) WHEN 5 THEN concat('Z: ', p_name) ELSE p_name END"
+
+
+@query("SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'qa' WHEN 1 THEN 'clarification' WHEN 2 THEN 'variant' WHEN 3 THEN 'scenario_rule' ELSE 'rule' END AS content_type FROM part")
 def content_type(spark, d):
-    return rules(spark, d).select("p_partkey", text.content_type(F.col("text")).alias("content_type"))
+    return read(spark, d, "part").select("p_partkey", text.content_type(F.expr(_TYPED)).alias("content_type"))
 
 
 @query(rf"WITH {_RULES} SELECT p_partkey, nullif(regexp_extract(text, 'Scenario ([A-K])', 1), '') AS scenario FROM r")
@@ -162,24 +159,20 @@ def scenario_detect(spark, d):
     return rules(spark, d).select("p_partkey", F.array_join(text.scenarios(F.col("text")), ",").alias("scenario"))
 
 
-@query("SELECT p_partkey, upper(replace(p_brand, '#', '')) AS plain FROM part WHERE regexp_matches(upper(replace(p_brand, '#', '')), '^[A-Z]+$') UNION ALL SELECT p_partkey, upper(p_type) FROM part WHERE regexp_matches(upper(p_type), '^[A-Z ]+$')")
+_SPACED = "CASE p_partkey % 6 WHEN 0 THEN 'M O V E S  A N D   F I R E' WHEN 1 THEN 'A  B  C' WHEN 2 THEN 'A b  C' WHEN 3 THEN '  A  B' WHEN 4 THEN concat('F I R E', chr(10), p_name, chr(10), 'X') ELSE p_name END"
+
+
+@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'MOVES AND FIRE' WHEN 1 THEN 'A B C' WHEN 2 THEN 'A b  C' WHEN 3 THEN '  A  B' WHEN 4 THEN concat('FIRE', chr(10), p_name, chr(10), 'X') ELSE p_name END AS once, CASE p_partkey % 6 WHEN 0 THEN 'MOVES AND FIRE' WHEN 1 THEN 'ABC' WHEN 2 THEN 'A b  C' WHEN 3 THEN '  A  B' WHEN 4 THEN concat('FIRE', chr(10), p_name, chr(10), 'X') ELSE p_name END AS twice FROM part")
 def ocr_collapse(spark, d):
-    spaced = lambda c: F.array_join(F.transform(F.split(F.upper(c), " "), lambda w: F.array_join(F.split(w, "(?<=.)(?=.)"), " ")), "  ")
-    part = read(spark, d, "part")
-    brand = part.withColumn("b", F.replace("p_brand", F.lit("#"), F.lit(""))).filter(F.upper("b").rlike("^[A-Z]+$")).select("p_partkey", text.collapse_spaced_letters(spaced(F.col("b"))).alias("plain"))
-    return brand.unionByName(part.filter(F.upper("p_type").rlike("^[A-Z ]+$")).select("p_partkey", text.collapse_spaced_letters(spaced(F.col("p_type"))).alias("plain")))
+    once = text.collapse_spaced_letters(F.expr(_SPACED))
+    return read(spark, d, "part").select("p_partkey", once.alias("once"), text.collapse_spaced_letters(once).alias("twice"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in fixed.STOP_WORDS_RULES)
 
 
-@query(f"SELECT item_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9_\\s]', '', 'g'), '\\s+'), lambda w: length(w) > 2 AND w NOT IN ({_STOP})), ' ') AS kept FROM benchmark WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')")
+@query(f"SELECT item_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}\\s]', '', 'g'), '\\s+'), lambda w: length(w) > 2 AND w NOT IN ({_STOP})), ' ') AS kept FROM benchmark")
 def keyword_extract(spark, d):
-    return read(spark, d, "benchmark").filter(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("item_id", F.array_join(text.keywords(F.col("text")), " ").alias("kept"))
-
-
-@query()
-def keyword_extract_all(spark, d):
     return read(spark, d, "benchmark").select("item_id", F.array_join(text.keywords(F.col("text")), " ").alias("kept"))
 
 
@@ -188,12 +181,14 @@ def keyword_hits(spark, d):
     return read(spark, d, "documents").select("doc_id", F.size(text.keywords_in(F.col("text"), F.array(*map(F.lit, ["Thing", "eau", "SCH", "ción"])), ignore_case=True)).cast("bigint").alias("hits"))
 
 
-@query("SELECT DISTINCT concat(upper(substring(p_name, 1, 3)), ': Big Thing ', upper(substring(p_name, 1, 1)), 'x') AS candidate FROM part WHERE regexp_matches(p_name, '^[a-z]{3}')")
+@query("SELECT DISTINCT concat(upper(substring(p_name, 1, 3)), ': Big Thing ', upper(substring(p_name, 1, 1)), 'x', p_partkey % 4) AS candidate FROM part")
 def acronym_candidates(spark, d):
-    part = read(spark, d, "part").filter(F.col("p_name").rlike("^[a-z]{3}"))
-    meaning = F.concat(F.lit("Big Thing "), F.upper(F.substring("p_name", 1, 1)), F.lit("x"))
-    said = F.when(F.col("p_partkey") % 2 == 0, F.concat(meaning, F.lit(" ("), F.upper(F.substring("p_name", 1, 3)), F.lit(")"))).otherwise(F.concat(F.upper(F.substring("p_name", 1, 3)), F.lit(" ("), meaning, F.lit(")")))
-    return part.select(F.explode(text.acronyms(said)).alias("candidate")).distinct()
+    """All four forms of definition; a number tells them apart."""
+    short, long = F.upper(F.substring("p_name", 1, 3)), F.concat(F.lit("Big Thing "), F.upper(F.substring("p_name", 1, 1)), F.lit("x"))
+    forms = F.array(F.concat(long, F.lit(" ("), short, F.lit(")")), F.concat(short, F.lit(" ("), long, F.lit(")")), F.concat(long, F.lit(" ["), short, F.lit("]")), F.concat(F.lit("see "), short, F.lit(": "), long))
+    form = F.col("p_partkey") % 4
+    found = read(spark, d, "part").select(form.alias("form"), F.explode(text.acronyms(F.get(forms, form.cast("int")))).alias("c"))
+    return found.select(F.concat("c", F.col("form").cast("string")).alias("candidate")).distinct()
 
 
 @query(rf"""WITH {_RULES} SELECT 'chapter_decimal' AS name, 0 AS ord, CAST(coalesce(sum(len(regexp_extract_all(text, '(?m)(?:^|\s)([A-Z]\d{{1,2}}\.\d{{1,4}})\b'))), 0) AS BIGINT) AS hits FROM r
@@ -232,14 +227,8 @@ def page_cap(spark, d):
     return read(spark, d, "part").select("p_partkey", profile.page_cap(2 * F.col("p_size"), kind).alias("max_pages"))
 
 
-@query(r"SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE doc_id < 500)")
-def line_explode(spark, d):
-    docs = read(spark, d, "documents").filter("doc_id < 500").select(F.col("doc_id").alias("source_file"), "text")
-    return tables.lines(docs).select(F.col("source_file").alias("doc_id"), "line_no", "line")
-
-
 @query(r"SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)")
-def line_explode_all(spark, d):
+def line_explode(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("source_file"), "text")
     return tables.lines(docs).select(F.col("source_file").alias("doc_id"), "line_no", "line")
 
@@ -302,12 +291,12 @@ def rule_lookup(spark, d):
 @query(rf"""WITH {_RULES}, c AS (SELECT p_partkey, p_partkey % 4 + 1 AS priority, regexp_extract(text, '^(\d+\.\d+)', 1) AS own FROM r),
             e AS (SELECT own AS rule, p_partkey, priority, false AS secondary FROM c UNION ALL SELECT concat(CAST(1 + p_partkey % 29 AS VARCHAR), '.', CAST(p_partkey % 90 + 2 AS VARCHAR)), p_partkey, priority, true FROM c),
             i AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY priority, p_partkey, secondary) AS rank FROM e),
-            q AS (SELECT p_partkey, text FROM r WHERE p_partkey BETWEEN 10 AND 16),
+            q AS (SELECT p_partkey, text FROM r),
             x AS (SELECT regexp_extract(text, '\[(\d+\.\d+)\]', 1) AS ref, p_partkey * 10 AS spot FROM q UNION ALL SELECT regexp_extract(text, 'see (\d+\.\d+)', 1), p_partkey * 10 + 1 FROM q),
             n AS (SELECT ref, min(spot) AS spot FROM x WHERE ref NOT IN ('1.10') GROUP BY ref ORDER BY spot, ref LIMIT 5)
             SELECT ref, CAST(p_partkey AS VARCHAR) AS chunk_id FROM n JOIN i ON i.rule = n.ref WHERE rank = 1""")
 def xref_chase(spark, d):
-    docs = rules(spark, d).filter(F.col("p_partkey").between(10, 16)).select(F.concat(F.lit("[Rule: 1.10]\n"), "text").alias("text"), F.col("p_partkey").alias("pos"))
+    docs = rules(spark, d).select(F.concat(F.lit("[Rule: 1.10]\n"), "text").alias("text"), F.col("p_partkey").alias("pos"))
     return rule_index.chase(docs, own_index(spark, d), fixed.CHASED_REFERENCE, fixed.RULE_TAG).select("ref", "chunk_id")
 
 
@@ -326,19 +315,6 @@ def neighbour_window(spark, d):
     return retrieval.neighbours(rows, rows).select("conv_id", "turn", F.md5("expanded").alias("expanded"))
 
 
-@query("""WITH c AS (SELECT conv_id, turn, CASE WHEN turn = 1 THEN 1 END AS hit FROM conversations), h AS (SELECT conv_id, turn, turn + 2 AS want FROM c WHERE hit = 1)
-          SELECT CAST(h.conv_id AS VARCHAR) AS carrier, CAST(h.want AS INTEGER) AS ref_page, count(*) AS n FROM h JOIN conversations t ON t.conv_id = h.conv_id AND t.turn = h.want GROUP BY 1, 2""")
-def page_reference_join(spark, d):
-    rows = read(spark, d, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("chunk_id"), F.col("conv_id").cast("string").alias("carrier"), F.lit("f").alias("source"), F.col("turn").cast("int").alias("page"), F.col("turn").alias("seq"), "text")
-    hits = rows.filter("page = 1").withColumn("expanded", F.concat(F.lit("See page "), (F.col("page") + 2).cast("string"), F.lit(" and Page 1.")))
-    return retrieval.referenced_pages(hits, rows).groupBy("carrier", "ref_page").agg(F.count("*").alias("n"))
-
-
-@query("SELECT doc_id FROM (SELECT doc_id, coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM documents WHERE doc_id < 20) WHERE b <= 18000")
-def context_budget(spark, d):
-    return retrieval.within_budget(read(spark, d, "documents").filter("doc_id < 20").select("doc_id", F.col("doc_id").alias("pos"), F.col("n_chars").alias("size"))).select("doc_id")
-
-
 _EVENTS = "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts {0}, event_id {0}) AS n FROM events) WHERE n = 1"
 
 
@@ -395,19 +371,14 @@ def spans(spark, d) -> DataFrame:
     return read(spark, d, "supplier").select(F.col("s_nationkey").alias("doc"), k.alias("seq"), body.alias("text"), x.alias("x0"), y.alias("y0"), (x + 20).alias("x1"), (y + 8).alias("y1"))
 
 
-_SPANS = "s AS (SELECT s_nationkey AS doc, s_suppkey AS seq, CASE WHEN s_suppkey % 3 = 0 THEN CAST(s_suppkey % 90 AS VARCHAR) WHEN s_suppkey % 17 = 1 THEN 'Type: ship' ELSE s_name END AS text, CAST(s_suppkey * 37 % 560 AS DOUBLE) AS x0, CAST(20 + s_suppkey * 13 % 240 AS DOUBLE) AS y0, s_suppkey * 37 % 560 + 10 AS xc, 24 + s_suppkey * 13 % 240 AS yc FROM supplier)"
+_SPANS = "s AS (SELECT s_nationkey AS doc, s_suppkey AS seq, CASE WHEN s_suppkey % 3 = 0 THEN CAST(s_suppkey % 90 AS VARCHAR) WHEN s_suppkey % 17 = 1 THEN 'Type: ship' ELSE s_name END AS text, CAST(s_suppkey * 37 % 560 AS DOUBLE) AS x0, CAST(20 + s_suppkey * 13 % 240 AS DOUBLE) AS y0, s_suppkey * 37 % 560 + 10 AS xc, 24 + s_suppkey * 13 % 240 AS yc FROM supplier WHERE 28 + s_suppkey * 13 % 240 < 265)"
 
 
 @query(f"""WITH {_SPANS}, f AS (SELECT * FROM (VALUES ('Turret Armor', 60, 135), ('Stern Armor', 140, 215), ('Left Armor', 220, 295), ('Front Armor', 305, 380), ('Right Armor', 385, 460), ('Bottom Armor', 470, 545)) t(facing, a, b)),
           n AS (SELECT doc, facing, arg_min(CAST(text AS INTEGER), seq) AS sf FROM s JOIN f ON xc BETWEEN a AND b WHERE regexp_matches(text, '^[0-9]+$') AND y0 > 15 AND y0 < 35 GROUP BY 1, 2)
           SELECT d.doc, f.facing, coalesce(sf, 0) AS sf FROM (SELECT DISTINCT doc FROM s) d CROSS JOIN f LEFT JOIN n ON n.doc = d.doc AND n.facing = f.facing""")
 def armour_range_join(spark, d):
-    return layout.armour(spans(spark, d))
-
-
-@query()
-def weapon_rows(spark, d):
-    return layout.weapons(spans(spark, d))
+    return layout.armour(layout.first_unit(spans(spark, d)))
 
 
 @query(f"""WITH {_SPANS}, i AS (SELECT * FROM s WHERE yc > 115 AND yc < 200 AND NOT regexp_matches(text, '^[0-9]+$') AND xc BETWEEN 50 AND 140),
@@ -418,14 +389,16 @@ def weapon_rows(spark, d):
           FROM e LEFT JOIN g ON g.doc = e.doc AND g.col = e.col""")
 def grid_fill(spark, d):
     name, a, b, width = fixed.GRIDS[0]
-    return layout.grid(spans(spark, d), a, b, width).withColumn("cells", F.array_join("cells", "|"))
+    return layout.grid(layout.first_unit(spans(spark, d)), a, b, width).withColumn("cells", F.array_join("cells", "|"))
 
 
-@query("""SELECT s_suppkey, concat(s_name, ' is a ship unit.', chr(10), 'Attributes:', chr(10), '- Nation: ', s_nationkey, chr(10), 'Armor and Grids:', chr(10), '- Front has SF (Size Factor) ', s_suppkey % 9, '.', chr(10), 'Missiles:', chr(10), '- ', s_suppkey % 4, 'x TVLG') AS text FROM supplier""")
+@query("""SELECT s_suppkey, concat(s_name, ' is a ship unit.', chr(10), 'Attributes:', chr(10), '- Nation: ', s_nationkey, chr(10), 'Armor and Grids:', chr(10), '- Front has SF (Size Factor) ', s_suppkey % 9, '.', chr(10), '- Hull is 10 columns wide.', chr(10), CASE WHEN s_suppkey % 2 = 0 THEN concat('Weapons:', chr(10), '- Gun mounted on Unknown (Damage: 5, Range: N/A)', chr(10), '- Weapon mounted on Bow (Damage: N/A, Range: 3)', chr(10)) ELSE '' END, 'Missiles:', chr(10), '- ', s_suppkey % 4, 'x TVLG') AS text FROM supplier""")
 def entity_render(spark, d):
     s = lambda c: F.col(c).cast("string")
-    grids = F.create_map(F.lit("Front"), F.struct((F.col("s_suppkey") % 9).alias("SF"), F.lit(10).alias("Width")))
-    arms = F.array().cast("array<struct<Name:string,Location:string,Damage:string,Range:string>>")
+    grids = F.create_map(F.lit("Front"), F.struct((F.col("s_suppkey") % 9).alias("SF"), F.lit(10).alias("Width")), F.lit("Hull"), F.struct(F.lit(None).cast("bigint").alias("SF"), F.lit(10).alias("Width")))
+    kind = "array<struct<Name:string,Location:string,Damage:string,Range:string>>"
+    guns = F.from_json(F.lit('[{"Name": "Gun", "Damage": "5"}, {"Location": "Bow", "Range": "3"}]'), kind)
+    arms = F.when(F.col("s_suppkey") % 2 == 0, guns).otherwise(F.array().cast(kind))
     rockets = F.array(F.struct(F.lit("TVLG").alias("Type"), (F.col("s_suppkey") % 4).alias("Count")))
     return read(spark, d, "supplier").select("s_suppkey", layout.entity_text(F.col("s_name"), F.lit("ship"), F.create_map(F.lit("Nation"), s("s_nationkey")), grids, arms, rockets).alias("text"))
 
@@ -444,21 +417,30 @@ def windowed_counts(spark, d):
 
 @query()
 def answer_documents(spark, d):
-    """The whole way from books to the documents of an answer, without a model."""
-    chunks = providers.embedded(chunks_of_books(spark, d))
-    index = rule_index.rule_index(chunks)
+    """The whole way from books to the documents of an answer, without a model, by way of a collection of chunks and one of
+    the index, which further questions can read."""
+    held = collections.Collections(spark, fresh_path(spark, "corpus"))
+    chunks = held.recreate("chunks", providers.embedded(chunks_of_books(spark, d)))
+    index = held.recreate("index", rule_index.rule_index(chunks))
     question = "What does rule 5.5 say about moves?"
     embed = lambda q: providers.HashingEmbedder()([q])[0].tolist()
     found = retrieval.answer_context(chunks, index, question, embed, providers.classified(question))
     return found["documents"].select("chunk_id", "rule_number", "pos")
 
 
-@query()
-def similar_turns(spark, d):
-    """Turns that are nearly the one before them."""
-    rows = read(spark, d, "conversations")
-    before = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
-    return rows.join(before, ["conv_id", "turn"]).filter(providers.similar_text(F.col("text"), F.col("before"))).select("conv_id", "turn")
+_COPY = {
+    "k": "p_partkey",
+    "a": "concat('--- PAGE 1 ---', chr(10), repeat(concat(p_name, ' and ', p_type, ' '), 8), chr(10), '--- PAGE 2 ---', chr(10), 'end')",
+    "b": "CASE p_partkey % 6 WHEN 0 THEN upper(concat('--- PAGE 1 ---', chr(10), chr(10), repeat(concat(p_name, '  and ', p_type, chr(9)), 8), '--- PAGE 2 ---  end')) WHEN 1 THEN concat('--- PAGE 1 ---', chr(10), repeat(concat(p_name, ' and ', p_type, ' '), 7), p_name, ' but ', p_type, chr(10), '--- PAGE 2 ---', chr(10), 'end') WHEN 2 THEN concat('--- PAGE 1 ---', repeat('something else, 0123456789', 8)) WHEN 3 THEN NULL WHEN 4 THEN '' ELSE concat('--- PAGE 1 ---', chr(10), 'end') END",
+}
+
+
+@query("SELECT p_partkey AS k, p_partkey % 6 < 2 AS same FROM part")
+def duplicate_check(spark, d):
+    """Whether two texts are nearly the same on their first three pages."""
+    rows = read(spark, d, "part").selectExpr(*(f"{sql} AS {name}" for name, sql in _COPY.items()))
+    a, b = (providers.first_pages(F.concat(c, F.lit("\n--- PAGE 3 --- x\n--- PAGE 4 ---\n"), F.repeat(c, 3))) for c in ("a", "b"))
+    return rows.select("k", F.when(F.col("b") != "", providers.similar_text(a, b)).otherwise(providers.similar_text(F.col("a"), F.col("b"))).alias("same"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

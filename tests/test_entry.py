@@ -42,7 +42,7 @@ def test_query(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE_SQL)))
 def test_query_without_sql(spark, name):
-    assert plans.QUERIES[name](spark, FOLDER).columns
+    assert plans.QUERIES[name](spark, FOLDER).count() > 0
 
 
 def test_entry(spark):

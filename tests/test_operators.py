@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,7 +242,7 @@ def test_queries_in_waves(spark, most):
 def test_lines_of_all_documents(spark, tmp_path):
     rows = [(i, f"first {i}\n\nlast") for i in (0, 499, 500, 10**12)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted(map(tuple, queries.QUERIES["line_explode_all"](spark, str(tmp_path)).collect()))
+    got = sorted(map(tuple, queries.QUERIES["line_explode"](spark, str(tmp_path)).collect()))
     assert got == sorted((i, n, line) for i, t in rows for n, line in enumerate(t.split("\n")))
 
 
@@ -249,5 +250,21 @@ def test_keywords_of_all_items(spark, tmp_path):
     rows = [(1, "The élan, of Straße; an_x 12 3456!"), (2, "Plain words"), (3, "où être\u00a0là-bas"), (4, "")]
     spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     kept = lambda t: " ".join(w for w in re.split(r"\s+", re.sub(r"[^\w\s]", "", t.lower())) if len(w) > 2 and w not in fixed.STOP_WORDS_RULES)
-    got = sorted(map(tuple, queries.QUERIES["keyword_extract_all"](spark, str(tmp_path)).collect()))
+    got = sorted(map(tuple, queries.QUERIES["keyword_extract"](spark, str(tmp_path)).collect()))
     assert got == [(i, kept(t)) for i, t in rows]
+
+
+def test_recall_of_the_approximate_search():
+    """Random projections against the exact search, over every hundredth row."""
+    import duckdb
+
+    rows = dict(duckdb.connect().execute("SELECT vec_id, embedding FROM read_parquet('/root/testdata/sf0.01/embeddings.parquet')").fetchall())
+    x = np.array([rows[i] for i in sorted(rows)], float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = total = kept = asked = 0
+    for q in unit[::100]:
+        exact = np.argsort(-(unit @ q), kind="stable")[:10]
+        planes, shifts = vector.projections(len(q), 8, 0.5, 7)
+        near = (np.floor((unit @ planes.T + shifts) / 0.5) == np.floor((planes @ q + shifts) / 0.5)).any(axis=1)
+        found, total, kept, asked = found + near[exact].sum(), total + 10, kept + near.sum(), asked + len(x)
+    assert found / total >= 0.9, (found / total, kept / asked)
