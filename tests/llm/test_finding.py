@@ -59,6 +59,43 @@ def test_language(spark):
     assert [x.held_out for x in found] == [__import__("zlib").crc32(str(x.doc_id).encode()) % 4 == 2 for x in found]
 
 
+def plain_bayes(rows, texts):
+    """Naive Bayes by dictionaries: each letter alone, with the next, and with both neighbours, hashed as the operator does."""
+    import math
+
+    import numpy as np
+
+    def grams(text):
+        codes, _ = language.encoded([text])
+        return [int(x[0]) for i in np.flatnonzero(codes) for x in language.buckets(codes, np.array([i]))]
+
+    counts, docs = {}, {}
+    for text, lang in rows:
+        docs[lang] = docs.get(lang, 0) + 1
+        own = counts.setdefault(lang, {})
+        for g in grams(text):
+            own[g] = own.get(g, 0) + 1
+    out = []
+    for text in texts:
+        found = grams(text or "")
+        score = {x: math.log(docs[x] / len(rows)) + sum(math.log((own.get(g, 0) + language.SMOOTHING) / (sum(own.values()) + language.SMOOTHING * language.BUCKETS)) for g in found) for x, own in counts.items()}
+        best = max(sorted(score), key=lambda x: score[x])
+        out.append((best, 1 / sum(math.exp(s - score[best]) for s in score.values())) if found else ("und", 0.0))
+    return out
+
+
+def test_language_by_plain_bayes(spark):
+    r = random.Random(5)
+    say = lambda x, n: " ".join("".join(r.choice(STEMS[x]) for _ in range(r.randint(1, 3))) for _ in range(n))
+    rows = [(i, say(x := r.choice(list(STEMS)), r.randint(1, 6)), x) for i in range(80)] + [(900, None, "en"), (901, "12", "fr"), (902, "Eau Sch", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = [(t, x) for i, t, x in rows if t is not None and x is not None and __import__("zlib").crc32(str(i).encode()) % 4 != 2]
+    want = plain_bayes(learned, [t for _, t, _ in rows])
+    got = {x.doc_id: x for x in language.identify(docs, language.train(docs)).collect()}
+    assert [got[i].lang_pred for i, _, _ in rows] == [x for x, _ in want]
+    assert [got[i].score for i, _, _ in rows] == pytest.approx([s for _, s in want], abs=1e-4)
+
+
 def test_pieces_of_a_text_score_like_the_whole(monkeypatch):
     model = language.Model(["a", "b"], __import__("numpy").zeros(2), __import__("numpy").random.default_rng(0).normal(size=(2, language.BUCKETS)))
     texts = ["the quick brown", None, "", "éa b" * 50, "7"]

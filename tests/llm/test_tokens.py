@@ -1,5 +1,7 @@
 """Token counts and packing against the tokenizers themselves and by their invariants."""
 
+import collections
+import random
 import zlib
 
 import numpy as np
@@ -104,3 +106,43 @@ def test_packing_of_documents(spark, library):
 
 def test_packing_of_nothing(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), BYTES).count() == 0
+
+
+def one_at_a_time(lengths, size):
+    """Best-two-fit, bin by bin, over all pairs of what is left."""
+    left, bins = sorted(lengths), []
+    while left:
+        own, gap = [], size
+        while fits := [x for x in left if x <= gap]:
+            own.append(fits[-1])
+            left.remove(fits[-1])
+            gap -= fits[-1]
+        if gap and len(own) > 1:
+            room, best = gap + own[-1], None
+            for i, a in enumerate(left):
+                for b in left[i + 1 :]:
+                    if own[-1] < a + b <= room and (best is None or (a + b, -a) > (sum(best), -best[0])):
+                        best = (a, b)
+            if best:
+                left = sorted([*left, own.pop()])
+                for x in best:
+                    left.remove(x)
+                own += best
+        bins.append(sorted(own))
+    return sorted(bins)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_the_plan_makes_the_bins_of_one_at_a_time(seed):
+    r = random.Random(seed)
+    size = r.choice([12, 40, 100])
+    lengths = [min(size, max(1, int(r.choice([r.uniform(1, size), r.uniform(1, size / 3), size / 2, 1])))) for _ in range(120)]
+    made = packing.plan(dict(collections.Counter(lengths)), size)
+    bins = [[] for _ in range(made.bins)]
+    last = [*made.first[1:], 0]
+    for k in range(len(made.length)):
+        n = collections.Counter(lengths)[made.length[k]]
+        end = last[k] if k + 1 < len(made.length) and made.length[k + 1] == made.length[k] else n
+        for rank in range(made.first[k], end):
+            bins[made.bin[k] + (rank - made.first[k]) // made.copies[k]].append(int(made.length[k]))
+    assert sorted(map(sorted, bins)) == one_at_a_time(lengths, size)
