@@ -125,7 +125,8 @@ def test_search(spark):
     assert {r.source for r in vector.top_k(v, [1.0, 1.0, 1.0], 5, where=vector.predicate(source=["src1"])).collect()} == {"src1"}
     assert [r.vec_id for r in vector.top_k(v, [0.0, 1.0, 0.0], 1, metric="l2").collect()] == [0]
     assert vector.predicate(a=None, b=[]) is None and [vector.oversampled(n) for n in (4, 5, 6, 8, 10)] == [10, 12, 15, 20, 25]
-    assert set(r.vec_id for r in vector.approximate_top_k(v, [1.0, 1.0, 1.0], 3).collect()) <= set(range(30))
+    centres = vector.cell_centres(v, 4)
+    assert set(r.vec_id for r in vector.approximate_top_k(vector.cell_index(v, centres), centres, [1.0, 1.0, 1.0], 3, probes=2).collect()) <= set(range(30))
 
 
 def test_neighbours_pages_and_budget(spark):
@@ -254,17 +255,20 @@ def test_keywords_of_all_items(spark, tmp_path):
     assert got == [(i, kept(t)) for i, t in rows]
 
 
-def test_recall_of_the_approximate_search():
-    """Random projections against the exact search, over every hundredth row."""
-    import duckdb
-
-    rows = dict(duckdb.connect().execute("SELECT vec_id, embedding FROM read_parquet('/root/testdata/sf0.01/embeddings.parquet')").fetchall())
-    x = np.array([rows[i] for i in sorted(rows)], float)
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    found = total = kept = asked = 0
-    for q in unit[::100]:
-        exact = np.argsort(-(unit @ q), kind="stable")[:10]
-        planes, shifts = vector.projections(len(q), 8, 0.5, 7)
-        near = (np.floor((unit @ planes.T + shifts) / 0.5) == np.floor((planes @ q + shifts) / 0.5)).any(axis=1)
-        found, total, kept, asked = found + near[exact].sum(), total + 10, kept + near.sum(), asked + len(x)
-    assert found / total >= 0.9, (found / total, kept / asked)
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_recall_of_the_approximate_search(spark, sf):
+    """The index of cells against the exact search, over every hundredth row."""
+    rows = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet").select("vec_id", "embedding")
+    centres = vector.cell_centres(rows)
+    indexed = vector.cell_index(rows, centres)
+    every = indexed.orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in every], float)
+    near = vector.nearest_cells(x, centres, 40)
+    cells, found, total = np.array([r.cell for r in every]), 0, 0
+    for i in range(0, len(x), 100):
+        exact = np.argsort(-(vector.unit(x) @ vector.unit(x)[i]), kind="stable")[:10]
+        found, total = found + np.isin(cells[exact], near[i]).sum(), total + 10
+    assert found / total >= 0.9, found / total
+    got = [r.vec_id for r in vector.approximate_top_k(indexed, centres, x[0].tolist(), 10).collect()]
+    want = [r.vec_id for r in vector.top_k(rows, x[0].tolist(), 10).collect()]
+    assert len(set(got) & set(want)) >= 8 and got[0] == want[0]
