@@ -22,8 +22,8 @@ from .common import even_keys, mix, pick, shuffle_partitions, worker_cache
 BLOCK_BYTES = 4 << 20
 #: Sources that don't know their size say at least so much.
 UNKNOWN_SIZE = 1 << 50
-#: Bytes or words hashed at once.
-SLICE = 1 << 20
+#: Bytes or words hashed at once: what the processor's cache holds.
+SLICE = 1 << 15
 
 _BASE = 0xD1342543DE82EF95
 _ASK = "bucket int, block int, at int, what int, blob binary"

@@ -70,8 +70,10 @@ class Block:
         where = np.empty(len(self.body), np.int32)
         for lo, hi in self._slices():
             where[lo:hi] = self._anchors(lo, hi) + lo
-        self.low, self.high, self.anchor = self._groups(where)
-        self._link(where)
+        new = np.ones(len(where), bool)
+        np.not_equal(where[1:], where[:-1], out=new[1:])
+        self._link(where, where[new])  # anchors never go back
+        self.low, self.high, self.anchor = self._groups(where, new)
 
     def _slices(self):
         return [(lo, min(lo + SLICE, len(self.body))) for lo in range(0, len(self.body), SLICE)]
@@ -83,23 +85,21 @@ class Block:
             more = np.concatenate([more, np.zeros(short, np.uint8)])
         return anchors(more, self.reach)[: hi - lo]
 
-    def _groups(self, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First and last position and anchor of each run of positions that have `length` bytes in their document."""
-        change = np.zeros(len(self.body) + 1, np.int8)
+    def _groups(self, where: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and last position and anchor of each run of positions that have `length` bytes in their document; new
+        says where another anchor begins."""
         a, b = self.offsets[:-1], self.offsets[1:] - self.length + 1
-        use = b > a
-        change[a[use]] += 1  # no two documents of this length begin or end at the same byte
-        change[b[use]] -= 1
-        at = np.flatnonzero(np.cumsum(change[:-1], dtype=np.int8) > 0)
-        if not len(at):
-            return (np.zeros(0, np.int64),) * 3
-        own = where[at]
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(own) != 0) | (np.diff(at) != 1)]))
-        return at[new], at[np.concatenate([new[1:], [len(at)]]) - 1], own[new].astype(np.int64)
-
-    def _link(self, where: np.ndarray) -> None:
+        a, b = a[b > a], b[b > a]
+        new[a] = True
+        at = np.flatnonzero(new)
+        doc = np.searchsorted(a, at, "right") - 1
+        high = np.append(at[1:], len(where)) - 1
+        use = (doc >= 0) & (at < (b[doc] if len(b) else 0))
+        at, high, doc = at[use], high[use], doc[use]
+        return at, np.minimum(high, b[doc] - 1), where[at].astype(np.int64)
+
+    def _link(self, where: np.ndarray, nodes: np.ndarray) -> None:
         last = len(self.body) - 1
-        nodes = np.unique(where) if len(where) else np.zeros(0, np.int32)
         nodes = nodes[nodes < last].astype(np.int64)
         if not len(nodes):
             self.nodes = self.places = self.end_of_start = np.zeros(0, np.int64)
