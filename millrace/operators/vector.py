@@ -101,7 +101,7 @@ def multi_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "c
                     found = 1 - dots / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None, :])
             else:
                 found = (q * q).sum(1)[:, None] - 2 * dots + (x * x).sum(1)[None, :]
-            found = np.round(found, digits)
+            found = np.round(found, digits) + 0.0  # no negative zero
             few = min(k, found.shape[1])
             edge = np.partition(found, few - 1, axis=1)[:, few - 1]
             rows, columns, values = [], [], []
