@@ -2,12 +2,13 @@
 
 Every window of every document is hashed; Spark finds which fingerprints begin in an earlier document, and repeated
 windows merge into maximal removal intervals. Blocks hold ranges of ids, so that "in a document with a smaller id"
-means "in an earlier block", and the block's own documents are compared within the block. Fingerprints have 64 bits.
+means "in an earlier block", and the block's own documents are compared within the block. Fingerprints have 96 bits, 64 of
+one hash and 32 of another.
 
 Defined cases: null and empty texts have no words; documents shorter than a window lose nothing; ids are integers or
-strings; rows of equal id are
-not held against each other; null ids count as the smallest; other columns are not read; an empty table gives an empty
-result; of equal texts the one with the smallest id stays whole. No window is left out, however frequent.
+strings; rows of equal id are not held against each other; null ids count as the smallest; other columns are not read;
+an empty table gives an empty result; of equal texts the one with the smallest id stays whole. No window is left out,
+however frequent.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_bytes
+from .common import mix, text_bytes
 from .exchange import SLICE, Rolling, answered, ask, ask_again, block_count, bucket_count, byte_values, dealt, ordered, questions, replies
 
 #: The bytes between words.
@@ -42,14 +43,15 @@ def word_bounds(body: np.ndarray, offsets: np.ndarray, separators: np.ndarray =
     return np.flatnonzero(gap & before), np.flatnonzero(gap & after) + 1
 
 
-def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Fingerprints of words, hashed some MB of text at a time."""
+def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """Fingerprints of words, hashed slice by slice; `which` names one of several independent hashes."""
     out, k = np.empty(len(starts), np.uint64), 0
     while k < len(starts):
         lo = int(starts[k])
         j = max(k + 1, int(np.searchsorted(ends, lo + SLICE, "right")))
         hi = int(ends[j - 1])
-        out[k:j] = Rolling(byte_values(body[lo:hi]))(starts[k:j] - lo, ends[k:j] - lo)
+        values = byte_values(body[lo:hi])
+        out[k:j] = Rolling(mix(values + np.uint64(which)) if which else values)(starts[k:j] - lo, ends[k:j] - lo)
         k = j
     return out
 
@@ -76,20 +78,33 @@ class Block:
         self.starts, self.ends = word_bounds(self.body, self.offsets)
         #: of each document, its first word; and the end
         self.first = np.searchsorted(self.starts, self.offsets)
-        hashes = window_hashes(word_hashes(self.body, self.starts, self.ends), width)
+        hashes, checks = (window_hashes(word_hashes(self.body, self.starts, self.ends, k), width) for k in (0, 1))
         whole = np.ones(len(hashes), bool)
         for end in self.first[1:-1]:
             whole[max(0, end - width + 1) : end] = False
-        #: the first word of each window, and the window's fingerprint
+        #: the first word of each window, and the two parts of the window's fingerprint
         self.window = np.flatnonzero(whole).astype(np.int32)
-        self.hashes = hashes[whole]
+        self.hashes, self.checks = hashes[whole], checks[whole].astype(np.uint32)
 
 
-def earlier(order: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """1 where an earlier block has the fingerprint too; rows come in the blocks' order."""
+def distinct(hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order of fingerprints in two parts, and where another one begins in it."""
     by = np.argsort(hashes, kind="stable")
-    again = np.zeros(len(hashes), np.uint8)
-    again[by[1:]] = hashes[by][1:] == hashes[by][:-1]
+    high, low = hashes[by], checks[by]
+    new = np.ones(len(by), bool)
+    np.not_equal(high[1:], high[:-1], out=new[1:])
+    if (~new[1:] & (low[1:] != low[:-1])).any():  # different fingerprints with an equal first part
+        by = np.lexsort((checks, hashes))
+        low = checks[by]
+        new[1:] |= low[1:] != low[:-1]
+    return by, new
+
+
+def earlier(order: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """1 where an earlier block has the fingerprint too; rows come in the blocks' order."""
+    by, new = distinct(hashes, checks)
+    again = np.empty(len(hashes), np.uint8)
+    again[by] = ~new
     return again
 
 
@@ -128,7 +143,9 @@ def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False) ->
 
     def first(key, table):
         block = Block(table, width)
-        return questions(key[0].as_py(), table.column("at")[0].as_py(), buckets, np.unique(block.hashes))
+        by, new = distinct(block.hashes, block.checks)
+        sent = by[new]
+        return questions(key[0].as_py(), table.column("at")[0].as_py(), buckets, block.hashes[sent], block.checks[sent])
 
     fields = [docs.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     if with_text:
@@ -137,9 +154,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False) ->
     def last(key, table, answers):
         block = Block(table, width)
         codes, _ = replies(answers)
-        by = np.argsort(block.hashes, kind="stable").astype(np.int32)
-        new = np.ones(len(by), bool)
-        new[1:] = np.diff(block.hashes[by]) != 0
+        by, new = distinct(block.hashes, block.checks)
+        by = by.astype(np.int32)
         group = np.cumsum(new, dtype=np.int32) - np.int32(1)
         ids = block.table.column("doc_id")
         values = ids.to_pylist()
@@ -167,7 +183,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False) ->
             columns += [pa.array([bytes(t).decode() for t in texts], pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
         return pa.Table.from_arrays(columns, names=[f.name for f in fields])
 
-    answers = answered(ask(blocks, first), buckets, earlier, [np.uint64])
+    answers = answered(ask(blocks, first), buckets, earlier, [np.uint64, np.uint32])
     return ask_again(blocks, answers, last, T.StructType(fields))
 
 

@@ -51,6 +51,13 @@ def test_passages(spark, width):
         assert sum(s.end - s.start for s in r.spans) == r.n_removed
 
 
+def test_equal_first_parts_are_told_apart():
+    hashes, checks = np.array([7, 3, 7, 7, 3, 7], np.uint64), np.array([1, 5, 2, 1, 5, 2], np.uint32)
+    by, new = substring_dedup.distinct(hashes, checks)
+    assert by.tolist() == [1, 4, 0, 3, 2, 5] and new.tolist() == [True, False, True, False, True, False]
+    assert substring_dedup.earlier(np.arange(6, dtype=np.int32), hashes, checks).tolist() == [0, 0, 0, 1, 1, 1]
+
+
 def bytes_removed(rows, length):
     texts = [(t or "").encode() for _, t in rows]
     count = collections.Counter(b[k : k + length] for b in texts for k in range(len(b) - length + 1))
