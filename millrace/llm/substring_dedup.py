@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import mix, text_bytes
-from .exchange import SLICE, Rolling, answered, ask, ask_again, block_count, bucket_count, byte_values, dealt, ordered, questions, replies
+from .exchange import BLOCK_BYTES, SLICE, Rolling, answered, ask, ask_again, block_count, bucket_count, byte_values, dealt, ordered, questions, replies
 
 #: The bytes between words.
 SEPARATORS = np.zeros(256, bool)
@@ -124,11 +124,11 @@ def id_marks(docs: DataFrame, n: int) -> tuple[np.ndarray, Column]:
     return np.array([some[len(some) * i // n] for i in range(1, n)] if some else [], object), F.coalesce("doc_id", F.lit(""))
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each document, with kept_text and the removed word ranges
     (spans, end exclusive) if with_text."""
     docs = docs.select("doc_id", "text")
-    n = block_count(docs)
+    n = block_count(docs, block_bytes)
     buckets = bucket_count(docs.sparkSession, n)
     marks, ids = id_marks(docs, n)
 

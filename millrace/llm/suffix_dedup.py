@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import mix, text_bytes
-from .exchange import SLICE, Rolling, answered, ask, ask_again, block_count, bucket_count, by_rank, byte_values, dealt, ordered, planes, questions, replied_ranks, replies, unplanes
+from .exchange import BLOCK_BYTES, SLICE, Rolling, answered, ask, ask_again, block_count, bucket_count, by_rank, byte_values, dealt, ordered, planes, questions, replied_ranks, replies, unplanes
 
 GRAM = 8
 #: Steps of the first ranks, and of the last ones at most.
@@ -195,13 +195,13 @@ def sorted_out(order: np.ndarray, rank: np.ndarray, further: np.ndarray, low: np
     return np.where(whole == 1, np.where(edge, WITNESS, WHOLE), np.where(shared[of] == 1, EDGE, UNIQUE)).astype(np.uint8)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document, with the kept bytes and the removed byte
     ranges (spans, end exclusive) if with_text."""
     if length < 2 * GRAM:
         raise ValueError(f"the length is {length}, at least {2 * GRAM} is asked for")
     docs = docs.select("doc_id", "text")
-    n = block_count(docs)
+    n = block_count(docs, block_bytes)
     buckets = bucket_count(docs.sparkSession, n)
     blocks = dealt(docs, F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int"), n)
 

@@ -78,6 +78,28 @@ def test_byte_strings(spark, length, monkeypatch):
     assert sorted(map(tuple, got), key=str) == sorted(bytes_removed(rows, length), key=str)
 
 
+@pytest.mark.parametrize("tasks", [2, 1 << 16])
+def test_bundled_rows_give_the_same(spark, tasks, monkeypatch):
+    monkeypatch.setattr(exchange, "BUNDLED_FROM", 1)
+    monkeypatch.setattr(exchange, "MOST_TASKS", tasks)
+    monkeypatch.setattr(substring_dedup, "block_count", lambda docs, size: 11)
+    monkeypatch.setattr(suffix_dedup, "block_count", lambda docs, size: 11)
+    rows = made_up(seed=9, n=30)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, substring_dedup.remove_repeats(docs, width=6).collect()), key=str) == sorted(passages_removed(rows, 6), key=str)
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(docs, length=20).collect()), key=str) == sorted(bytes_removed(rows, 20), key=str)
+
+
+def test_bundled_rows_grow_slower_than_blocks_times_buckets(monkeypatch):
+    hashes = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 40_000).astype(np.uint64) * np.uint64(2))
+    plain = exchange.questions(0, 0, 400, hashes)
+    monkeypatch.setattr(exchange, "BUNDLED_FROM", 400)
+    bundled = exchange.questions(0, 0, 400, hashes)
+    assert (len(plain), len(bundled)) == (400, 20)
+    found = [item for blob in bundled.column("blob").to_pylist() for item in exchange.unbundled(blob, 1)]
+    assert found == list(zip(plain.column("bucket").to_pylist(), plain.column("blob").to_pylist()))
+
+
 def test_slices_do_not_change_the_result(monkeypatch):
     rows = made_up(seed=2, n=30)
     table = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})
