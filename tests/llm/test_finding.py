@@ -252,6 +252,14 @@ def test_contamination(spark, most, monkeypatch):
     assert sorted(map(tuple, got), key=str) == sorted(contaminated(docs, items, 4), key=str)
 
 
+def test_words_between_gaps(spark):
+    texts = ["", " ", "a", " a", "a ", "--É1x\x00Ab,,c\n", "\U0001f600 zß\u00a0Z_9", ",.\t", "0-9\x7fé", "I\u0130 K\u212a"]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", decontamination.words(F.col("text")).alias("w")).collect()
+    for r in got:
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), r.text)
+        assert r.w == re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
 def test_contamination_of_and_by_nothing(spark):
     docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "some text")], "item_id long, text string")
