@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontamination, language, minhash, packing, pii, substring_dedup, suffix_dedup, token_counts, topk, warc
+from . import conversations, decontamination, language, minhash, packing, pii, substring_dedup, suffix_dedup, token_counts, topk, toxicity, vector_codes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,12 +56,50 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    return found.rows.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+    return found.select("doc_id", language.is_held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").alias("predicted"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = conversations.summary(conversations.damaged(table(spark, sf_dir, "conversations")))
+    return found.select(F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.col("digest").alias("repaired_sha256"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language.identify(docs.drop("lang"), language.train(docs))
     return found.select("doc_id", language.is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def lloyd_sql(parts: int = 8, entries: int = 16, rounds: int = 6, size: int = 8) -> str:
+    """Lloyd's rounds as one expression after another: a is the assignment and b the codebooks of each round."""
+    steps = [f"""
+        k AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(floor(4096 * CAST(v AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+        v AS (SELECT vec_id, label, p, x[p * {size} + 1:(p + 1) * {size}] AS x FROM k, (SELECT unnest(range({parts})) AS p)),
+        b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM v QUALIFY e < {entries})"""]
+    nearest = "min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * {n} + e)"
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, label, v.p, x, {nearest.format(n=entries)} AS de FROM v JOIN b{r} ON v.p = b{r}.p GROUP BY vec_id, label, v.p, x)")
+        if r < rounds:
+            each = ", ".join(f"CAST((sum(x[{j}]) - (sum(x[{j}]) % count(*) + count(*)) % count(*)) // count(*) AS BIGINT)" for j in range(1, size + 1))
+            steps.append(f"""m{r} AS (SELECT p, de % {entries} AS e, [{each}] AS c FROM a{r} GROUP BY p, de % {entries}),
+        b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN m{r} m ON m.p = b.p AND m.e = b.e)""")
+    return f"""
+        WITH {", ".join(steps)},
+        f AS (SELECT vec_id, label, string_agg(printf('%02x', de % {entries}), '' ORDER BY p) AS code, CAST(sum(de // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id, label),
+        h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM f, h
+    """
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
@@ -73,9 +111,52 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_decontamination": op9_decontamination,
     "op10_minhash": op10_minhash,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_toxicity": op12_toxicity,
+    "op13_conversations": op13_conversations,
 }
 
 ORACLE_SQL = {
+    "op13_conversations": r"""
+        WITH RECURSIVE bits AS (SELECT i, 0 AS k, i AS c FROM (SELECT unnest(range(256)) AS i) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+        h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                     xor(list_reduce(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT)),
+                         lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295), 4294967295) % 20 AS kind FROM conversations, crc),
+        d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                     CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE kind <> 0),
+        n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM d),
+        f AS (SELECT *, left(role, 1) AS initial, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                        WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM n),
+        g AS (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM f),
+        s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+                     count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS last,
+                     list(struct_pack(role := role, text := text, initial := initial, fault := fault) ORDER BY i) AS rows FROM g GROUP BY conv_id),
+        -- states: 0 nothing yet, 1 after the system's, 2 the user's, 3 the assistant's turn; up to two rows inserted before a row
+        ins AS (SELECT * FROM (VALUES (0, 0, ''), (0, 2, 'I'), (0, 3, 'II'), (1, 1, ''), (1, 2, 'I'), (1, 3, 'II'), (2, 2, ''), (2, 3, 'I'), (3, 3, ''), (3, 2, 'I')) AS x(a, b, audit)),
+        own AS (SELECT * FROM (VALUES (0, 1, 's'), (0, 2, 'u'), (1, 2, 'u'), (2, 3, 'a'), (3, 2, 'u')) AS x(a, b, role)),
+        moves AS (SELECT ins.a, own.b, ins.audit, 3 * len(ins.audit) AS cost, own.role FROM ins JOIN own ON ins.b = own.a),
+        best AS (SELECT conv_id, 0 AS i, 0 AS state, '000000000' AS value FROM s
+            UNION ALL
+            SELECT conv_id, i + 1, b, min(value) FROM (
+                SELECT p.conv_id, p.i, m.b, printf('%09d', CAST(left(p.value, 9) AS BIGINT) + m.cost + m.more) || substr(p.value, 10) || m.audit AS value
+                FROM best p JOIN s ON s.conv_id IS NOT DISTINCT FROM p.conv_id AND p.i < s.last,
+                LATERAL (SELECT p.state AS b, 4 AS cost, 'D' AS audit, 0 AS more
+                         UNION ALL SELECT b, cost, audit || 'K', CASE WHEN rows[p.i + 1].fault = 'truncated' THEN 3 ELSE 0 END FROM moves WHERE a = p.state AND role = rows[p.i + 1].initial AND rows[p.i + 1].fault NOT IN ('blank', 'duplicate')
+                         UNION ALL SELECT b, cost + 3, audit || 'R', CASE WHEN rows[p.i + 1].fault = 'truncated' THEN 3 ELSE 0 END FROM moves WHERE a = p.state AND role <> 's' AND rows[p.i + 1].fault NOT IN ('blank', 'duplicate')) m)
+            GROUP BY conv_id, i, b),
+        e AS (SELECT conv_id, min(printf('%09d', CAST(left(value, 9) AS BIGINT) + 3 * len(more)) || substr(value, 10) || more) AS value
+              FROM (SELECT s.conv_id, value, CASE state WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END AS more FROM best JOIN s ON s.conv_id IS NOT DISTINCT FROM best.conv_id AND best.i = s.last) GROUP BY conv_id),
+        a AS (SELECT s.conv_id, rows, CAST(left(value, 9) AS BIGINT) AS cost, substr(value, 10) AS audit FROM e JOIN s ON s.conv_id IS NOT DISTINCT FROM e.conv_id),
+        t AS (SELECT conv_id, rows, k, audit[k] AS edit, k - (len(left(audit, k)) - len(replace(left(audit, k), 'I', ''))) AS r, k - (len(left(audit, k)) - len(replace(left(audit, k), 'D', ''))) AS place FROM a, LATERAL (SELECT unnest(range(1, len(audit) + 1)) AS k)),
+        w AS (SELECT *, max(CASE WHEN place = 1 AND edit = 'K' AND rows[r].initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS headed FROM t),
+        o AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN rows[r].role ELSE CASE WHEN (place + headed) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE WHEN edit = 'I' THEN '' ELSE rows[r].text END, chr(10) ORDER BY k) AS whole
+              FROM w WHERE edit <> 'D' GROUP BY conv_id)
+        SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN o ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+    """,
+    "op11_vector_codes": lloyd_sql(),
     "op1_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
         d AS (SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest FROM p),
