@@ -18,6 +18,8 @@ from ..sources.shared import fresh_path
 
 #: Vectors that a task holds while it reads all blocks of queries.
 HELD_ROWS = 8192
+#: Vectors of the sample that bounds a search of many queries.
+SAMPLE_ROWS = 1024
 
 
 def _sum(a: Column, b: Column, f) -> Column:
@@ -26,7 +28,7 @@ def _sum(a: Column, b: Column, f) -> Column:
 
 def cosine_distance(a: Column, b: Column) -> Column:
     dot = _sum(a, b, lambda x, y: x * y)
-    return 1 - dot / (F.sqrt(_sum(a, a, lambda x, y: x * y)) * F.sqrt(_sum(b, b, lambda x, y: x * y)))
+    return 1 - F.try_divide(dot, F.sqrt(_sum(a, a, lambda x, y: x * y)) * F.sqrt(_sum(b, b, lambda x, y: x * y)))
 
 
 def squared_l2(a: Column, b: Column) -> Column:
@@ -56,30 +58,60 @@ def predicate(**bounds) -> Column | None:
 
 def top_k(vectors: DataFrame, query: list[float], k: int, metric: str = "cosine", where: Column | None = None, key: str = "vec_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
     """The k rows nearest to the query among those that `where` holds for, with `distance`; ties go to the smaller key.
-    The predicate is below the limit, so it prunes the scan; the k rows are taken within partitions first."""
-    rows = vectors if where is None else vectors.filter(where)
+    The predicate is below the limit, so it prunes the scan; the k rows are taken within partitions first. Null vectors
+    take no part; those without a direction come last."""
+    rows = (vectors if where is None else vectors.filter(where)).filter(F.col(vector).isNotNull())
     q = F.lit(list(map(float, query)))
-    return rows.withColumn("distance", F.round(METRICS[metric](F.col(vector), q), digits)).orderBy("distance", key).limit(k)
+    return rows.withColumn("distance", F.round(METRICS[metric](F.col(vector), q), digits)).orderBy(F.col("distance").asc_nulls_last(), key).limit(k)
 
 
-def multi_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding", digits: int = 6, most: int = 1000) -> DataFrame:
+def multi_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding", digits: int = 6, most: int = 1000, same: tuple[str, str] | None = None) -> DataFrame:
     """The k nearest rows for each of queries (query_id, query): query_id, key, distance and rank; ties go to the smaller
-    key. Executors write the queries as blocks of `most` to the shared folder; each task of the vectors reads one block
-    after another, scores a batch by one matrix product, and returns k rows for each query and HELD_ROWS vectors at most.
-    So the number of queries is not bounded, and no pair of a query and a vector is ever a row. Null vectors take no part."""
+    key. `same` names a column of vectors and one of queries: only rows with the query's value take part, none for null.
+    Executors write the queries as blocks of `most` to the shared folder, each query with a bound, its k-th distance in a
+    sample of SAMPLE_ROWS vectors; each task of the vectors reads one block after another, scores a batch by one matrix
+    product, and returns those of k rows for each query and HELD_ROWS vectors that the bound lets pass. So the number of
+    queries is not bounded, and no pair of a query and a vector is ever a row. Null vectors take no part."""
     spark = vectors.sparkSession
     folder = fresh_path(spark, "queries")
     id_kind = queries.schema["query_id"].dataType
+    tag, own_tag = (F.col(same[0]), F.col(same[1])) if same else (F.lit(0), F.lit(0))
+
+    def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        dots = q @ x.T
+        if metric == "cosine":
+            with np.errstate(invalid="ignore", divide="ignore"):
+                found = 1 - dots / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None, :])
+        else:
+            found = (q * q).sum(1)[:, None] - 2 * dots + (x * x).sum(1)[None, :]
+        return np.round(found, digits) + 0.0  # no negative zero
+
+    rows = vectors.select(F.col(key).alias("__key"), F.col(vector).cast("array<double>").alias("__x"), tag.cast("string").alias("__tag")).filter("__x is not null and __tag is not null")
+    asked = queries.select("query_id", F.col("query").cast("array<double>").alias("query"), own_tag.cast("string").alias("tag")).filter("query is not null and tag is not null")
+    n = asked.count()
+    schema = T.StructType([T.StructField("query_id", id_kind), T.StructField(key, vectors.schema[key].dataType), T.StructField("distance", T.DoubleType())])
+    if not n:
+        return spark.createDataFrame([], schema).withColumn("rank", F.lit(0))
+    # a sample of bounded size, those with the least hashes of their keys; it only saves work
+    few = rows.orderBy(F.xxhash64("__key"), "__key").limit(SAMPLE_ROWS).select("__x", "__tag").collect()
+    sample = spark.sparkContext.broadcast(([r[0] for r in few], [r[1] for r in few]))
 
     def blocks(batches):
+        some_x, some_tags = np.array(sample.value[0], float), np.array(sample.value[1])
         for batch in batches:
             for lo in range(0, batch.num_rows, most):
                 some = batch.slice(lo, most)
-                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((some.column(0).to_pylist(), np.array(some.column(1).to_pylist(), float)))], pa.binary())], names=["block"])
-
-    asked = queries.select("query_id", F.col("query").cast("array<double>").alias("query")).filter("query is not null")
-    asked.repartition(max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-asked.count() // most))), "query_id").mapInArrow(blocks, "block binary").write.parquet(folder)
-    schema = T.StructType([T.StructField("query_id", id_kind), vectors.schema[key], T.StructField("distance", T.DoubleType())])
+                q, tags = np.array(some.column(1).to_pylist(), float), np.array(some.column(2).to_pylist())
+                bounds = np.full(len(q), np.inf)
+                if len(some_x) >= k:
+                    found = distances(q, some_x)
+                    for j in range(len(q)):
+                        here = found[j, (some_tags == tags[j]) & ~np.isnan(found[j])]
+                        if len(here) >= k:
+                            bounds[j] = np.partition(here, k - 1)[k - 1] + 10.0**-digits  # products may be rounded in another way
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((some.column(0).to_pylist(), q, tags, bounds))], pa.binary())], names=["block"])
+
+    asked.repartition(max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // most))), "query_id").mapInArrow(blocks, "block binary").write.parquet(folder)
     own_kind, asked_kind = to_arrow_type(vectors.schema[key].dataType), to_arrow_type(id_kind)
 
     def query_blocks():
@@ -91,27 +123,21 @@ def multi_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "c
                 for batch in parquet.ParquetFile(source).iter_batches(batch_size=1):
                     yield pickle.loads(batch.column(0)[0].as_py())
 
-    def nearest(ids: pa.Array, x: np.ndarray):
+    def nearest(ids: pa.Array, x: np.ndarray, tags: np.ndarray):
         order = ids.to_numpy(zero_copy_only=False)
         order = order if order.dtype != object else order.astype(str)
-        for asked_ids, q in query_blocks():
-            dots = q @ x.T
-            if metric == "cosine":
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    found = 1 - dots / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None, :])
-            else:
-                found = (q * q).sum(1)[:, None] - 2 * dots + (x * x).sum(1)[None, :]
-            found = np.round(found, digits) + 0.0  # no negative zero
-            few = min(k, found.shape[1])
-            edge = np.partition(found, few - 1, axis=1)[:, few - 1]
-            rows, columns, values = [], [], []
+        for asked_ids, q, own_tags, bounds in query_blocks():
+            found = distances(q, x)
+            found_ids, columns, values = [], [np.zeros(0, np.int64)], [np.zeros(0)]
             for j in range(len(q)):
-                at = np.flatnonzero(~(found[j] > edge[j]))
-                at = at[np.lexsort((order[at], found[j, at]))[:few]]
-                rows += [asked_ids[j]] * len(at)
+                at = np.flatnonzero(~(found[j] > bounds[j]) if same is None else ~(found[j] > bounds[j]) & (tags == own_tags[j]))
+                if len(at) > k:
+                    at = at[~(found[j, at] > np.partition(found[j, at], k - 1)[k - 1])]
+                at = at[np.lexsort((order[at], found[j, at]))[:k]]
+                found_ids += [asked_ids[j]] * len(at)
                 columns.append(at)
                 values.append(found[j, at])
-            yield pa.RecordBatch.from_arrays([pa.array(rows, asked_kind), ids.take(pa.array(np.concatenate(columns))).cast(own_kind), pa.array(np.concatenate(values))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(found_ids, asked_kind), ids.take(pa.array(np.concatenate(columns))).cast(own_kind), pa.array(np.concatenate(values))], names=schema.names)
 
     def scan(batches):
         held: list[pa.RecordBatch] = []
@@ -119,7 +145,7 @@ def multi_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "c
         def flush():
             table = pa.Table.from_batches(held).combine_chunks()
             held.clear()
-            yield from nearest(table.column(0).chunk(0), np.array(table.column(1).to_pylist(), float))
+            yield from nearest(table.column(0).chunk(0), np.array(table.column(1).to_pylist(), float), np.array(table.column(2).to_pylist()))
 
         for batch in batches:
             if batch.num_rows:
@@ -129,7 +155,7 @@ def multi_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "c
         if held:
             yield from flush()
 
-    scored = vectors.select(key, F.col(vector).cast("array<double>").alias("__x")).filter("__x is not null").mapInArrow(scan, schema)
+    scored = rows.mapInArrow(scan, schema)
     order = Window.partitionBy("query_id").orderBy("distance", key)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,3 +30,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     store.mkdirs(folder)
     store.deleteOnExit(folder)
     return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(rows: DataFrame, name: str = "rows") -> DataFrame:
+    """The rows, written to the shared folder at once and read again; they survive the loss of any executor."""
+    path = fresh_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
