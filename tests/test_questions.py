@@ -39,7 +39,7 @@ def test_one_plan_gives_what_one_by_one_gives(spark):
         for part, rows in found.items():
             for x in rows.collect():
                 got[part].setdefault(x.question_id, []).append(x)
-        for i, query, embedding, kind, rules, scenario, subs in questions[: 7 if preset == "rules" else 2]:
+        for i, query, embedding, kind, rules, scenario, subs in questions[: 4 if preset == "rules" else 1]:
             vectors = {query: embedding} | dict(subs or [])
             want = retrieval.answer_context(chunks, index, query, vectors.__getitem__, {k: v for k, v in {"query_type": kind, "rule_numbers": rules, "scenario": scenario, "sub_queries": [s for s, _ in subs or []]}.items() if v is not None}, preset=preset)
             assert sorted((x.pos, x.chunk_id) for x in got["documents"].get(i, [])) == sorted((x.pos, x.chunk_id) for x in want["documents"].collect())
