@@ -188,8 +188,13 @@ def joining_links(table: pa.Table, percent: int) -> list[tuple]:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links reach, its own included) of each row of docs.
-    Linked are documents whose sets' intersection is at least percent / 100 of their union."""
+    Linked are documents whose sets' intersection is at least percent / 100 of their union. Rows of one id share
+    a component, that of the links of all their texts."""
     made = saved(sketches(docs, width, rows, bands))
+    sums = F.struct("n", "s1", "s2")
+    varied = ~F.max(sums).eqNullSafe(F.min(sums))
+    if not made.groupBy("doc_id").agg(varied.alias("varied")).filter("varied").isEmpty():
+        return _by_row(docs, width, percent, rows, bands)
     classes = saved(made.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("size")).filter("size > 1"))
     slim = made.select("doc_id", "n", "s1", "s2")
     member = saved(joined_to_groups(slim, classes, ["s1", "s2", "n"], "size", F.col("doc_id"), made.count()).select("doc_id", "n", F.coalesce("id", "doc_id").alias("id")))
@@ -219,6 +224,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
+def _by_row(docs: DataFrame, width: int, percent: int, rows: int, bands: int) -> DataFrame:
+    """near_duplicates of documents of which some share an id but not the text: rows are numbered and linked by number, then
+    components that an id has rows in are linked, and each is named by the smallest id of its rows."""
+    numbered = saved(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
+    found = saved(near_duplicates(numbered.select(F.col("row").alias("doc_id"), "text"), width, percent, rows, bands))
+    named = saved(found.withColumnRenamed("doc_id", "row").join(numbered.select("row", "doc_id"), "row").select("doc_id", "n_shingles", F.col("component_id").alias("part")))
+    of_id = named.filter("doc_id is not null").select("doc_id", "part").distinct()
+    links = of_id.join(of_id.groupBy("doc_id").agg(F.min("part").alias("u")), "doc_id").filter("u <> part").select("u", F.col("part").alias("v")).distinct()
+    joined = connected_components(saved(links)).select(F.col("u").alias("part"), F.col("v").alias("whole"))
+    merged = saved(named.join(joined, "part", "left").withColumn("whole", F.coalesce("whole", "part")))
+    least = merged.groupBy("whole").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"))
+    out = joined_to_groups(merged.drop("part"), least, ["whole"], "size", F.monotonically_increasing_id(), merged.count())
+    return out.select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+
+
 def compared(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different parts of the same bucket: open_ has band, key, size, id, n and part."""
     kind = open_.schema["id"].dataType.simpleString()

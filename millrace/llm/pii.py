@@ -40,8 +40,6 @@ NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){1
 RUN = r"[+(]{0,2}+[0-9]++(?:(?:[.-]|\x20?\(|\x20|\)[\x20-]?)[0-9]++)*+(?=\p{Punct}*+(?:\s|\z))"
 #: Such runs, or else tokens with a digit or at sign.
 INSTANCE = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])(?:" + RUN + r"|\S++)"
-#: Characters on each side of an instance in which its patterns' words are looked for.
-AROUND = 64
 #: What may open between the word before and the instance, and close after it.
 OPENING, CLOSING = r"[(\"'<\[{=:]+$", r"^[)\"'>\]},.;:!?]+"
 
@@ -134,9 +132,15 @@ def base_spans(text: Column, kind: str) -> Column:
     return _needed(text, kind, _located(text, PATTERNS[kind]), _SPANS)
 
 
+def _first_words(gap: Column, n: int) -> Column:
+    """The first n words of a text, whatever their length, with one space between, and one before if one was there."""
+    return F.array_join(F.slice(F.split(gap, r"(?U)\s+", n + 2), 1, n + 1), " ")
+
+
 def _surrounded(text: Column, pattern: str) -> Column:
-    """The matches with what is before and after each, up to the next match of the pattern."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.struct(F.substring(g, 1, AROUND).alias("head"), F.substring(g, -AROUND, AROUND).alias("tail")))
+    """The matches with the words before and after each, up to the next match of the pattern: one more than patterns have,
+    for opening and closing signs may stand alone."""
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.struct(_first_words(g, 2).alias("head"), F.reverse(_first_words(F.reverse(g), 4)).alias("tail")))
 
     def joined(m: Column) -> Column:
         sides = F.zip_with(F.slice(m["gaps"], 1, F.size(m["spans"])), F.slice(m["gaps"], 2, F.size(m["spans"])), lambda x, y: F.struct(x["tail"].alias("tail"), y["head"].alias("head")))

@@ -109,19 +109,27 @@ def earlier(order: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> np.nda
 
 
 def id_marks(docs: DataFrame, n: int) -> tuple[np.ndarray, Column]:
-    """n - 1 ids that cut the documents into ranges of about equal numbers, and the ids without nulls. String ids, in
-    order of their code points, are cut by a sample of about 100 for each range."""
+    """n - 1 ids that cut the documents into ranges of about equal bytes, and the ids without nulls. A document counts once
+    for each mean length that its text has begun, so a range has no more bytes than twice its share and one document's.
+    String ids, in order of their code points, are cut by a sample of about 100 for each range."""
     kind = docs.schema["doc_id"].dataType
-    if isinstance(kind, T.IntegralType):
-        ids = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(np.iinfo(np.int64).min))
-        marks = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0] if n > 1 else None
-        return np.array(marks or [], np.int64), ids
-    if not isinstance(kind, T.StringType):
+    integral = isinstance(kind, T.IntegralType)
+    if not integral and not isinstance(kind, T.StringType):
         raise TypeError(f"ids are {kind.simpleString()}, not integers or strings")
-    total = docs.count()
-    share = int((1 << 30) * min(1.0, 100 * n / max(1, total)))
-    some = sorted(r["doc_id"] for r in docs.filter("doc_id is not null").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).select("doc_id").collect())
-    return np.array([some[len(some) * i // n] for i in range(1, n)] if some else [], object), F.coalesce("doc_id", F.lit(""))
+    ids = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(np.iinfo(np.int64).min)) if integral else F.coalesce("doc_id", F.lit(""))
+    own = F.coalesce(F.octet_length("text"), F.lit(0))
+    total, size = docs.agg(F.count("*"), F.sum(own)).first()
+    if n == 1 or not total:
+        return np.array([], np.int64 if integral else object), ids
+    times = F.greatest(F.lit(1), F.ceil(own / F.lit(max(1, size // total))).cast("int"))
+    if integral:
+        weighted = docs.select("doc_id", F.explode(F.sequence(F.lit(1), times)).alias("i"))
+        marks = weighted.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0]
+        return np.array(marks or [], np.int64), ids
+    share = int((1 << 30) * min(1.0, 100 * n / total))
+    some = sorted((r[0], r[1]) for r in docs.filter("doc_id is not null").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).select("doc_id", times).collect())
+    heights = np.cumsum([w for _, w in some])
+    return np.array([some[np.searchsorted(heights, heights[-1] * i // n)][0] for i in range(1, n)] if some else [], object), ids
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:

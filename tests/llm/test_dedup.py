@@ -206,3 +206,25 @@ def test_components(spark):
     got = {x.u: x.v for x in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for x in root if find(x) != x}
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_no_link_is_lost_where_ids_are_repeated(spark):
+    """Rows of one id with different texts: each text's links count, and the id's rows share a component."""
+    say = lambda k, n=30: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(5, say(1)), (5, say(2)), (7, say(2)), (3, say(1) + " more"), (9, say(4)), (8, say(3)), (8, say(4)), (8, None), (6, say(5)), (6, say(5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(groups([(i, t or "") for i, t in rows], 80), key=str)
+    assert sorted(map(tuple, minhash.near_duplicates(docs, 5, 80).collect()), key=str) == want
+    none = spark.createDataFrame([(None, say(1)), (None, say(2)), (4, say(2)), (None, say(1))], "doc_id long, text string")
+    assert sorted((x.n_shingles, x.component_id) for x in minhash.near_duplicates(none, 5, 80).collect() if x.component_id) == [(26, 4), (26, 4)]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_ranges_have_about_equal_bytes(spark, kind):
+    """Long texts next to each other don't make a range heavy."""
+    rows = [(f"{i:06}" if kind == "string" else i, "x " * (4000 if 300 <= i < 400 else 20)) for i in range(2000)]
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+    marks, _ = substring_dedup.id_marks(docs, 16)
+    at = np.searchsorted(marks, np.array([i for i, _ in rows], marks.dtype), "right")
+    sizes = np.bincount(at, weights=[len(t) for _, t in rows])
+    assert len(marks) == 15 and sizes.max() <= 3 * sizes.sum() / 16

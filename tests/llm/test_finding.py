@@ -265,3 +265,14 @@ def test_contamination_of_and_by_nothing(spark):
     items = spark.createDataFrame([(1, "some text")], "item_id long, text string")
     assert decontamination.contamination(docs.limit(0), items).count() == 0
     assert decontamination.contamination(docs, items.limit(0)).first().n_hit == 0
+
+
+def test_words_around_an_instance_have_any_length(spark):
+    """Patterns have up to three whole words before an instance and one after it, however long they are."""
+    long = "w" * 500
+    text = f"{long}a {long}b {long}c me@mail.example.com {long}d {long}e"
+    row = spark.createDataFrame([(text, f'x y z ("me@mail.example.com"), so')], "a string, b string")
+    of = lambda c: pii.contexts(F.get(pii._seeds(F.col(c), "email"), F.lit(0))["before"], F.get(pii._seeds(F.col(c), "email"), F.lit(0))["after"])
+    a, b = row.select(of("a"), of("b")).first()
+    assert a == [f"before {long}c", f"before {long}b {long}c", f"before {long}a {long}b {long}c", f"after {long}d", f"between {long}c {long}d"]
+    assert b == ["before z", "before y z", "before x y z", "after so", "between z so"]
