@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -136,13 +138,15 @@ def datasheet(lines: Column) -> Column:
 
 
 def checked_patterns(spark, profile: dict) -> dict:
-    """rule_pattern and cross_ref_pattern of a profile, tried on the driver: a cross-reference pattern that Java can't
-    compile gives way to the rule pattern; a rule pattern that it can't compile is an error."""
+    """rule_pattern and cross_ref_pattern of a profile, tried on the driver by both engines that use them, Java's in
+    expressions and Python's in the chunkers: a cross-reference pattern that either can't compile gives way to the rule
+    pattern; a rule pattern that either can't compile is an error."""
 
     def compiles(pattern: str) -> bool:
         try:
+            re.compile(pattern)
             spark._jvm.java.util.regex.Pattern.compile(pattern)
-        except Exception:
+        except (re.error, Py4JError, PySparkException):
             return False
         return True
 

@@ -42,12 +42,11 @@ def thrust(spans: DataFrame) -> DataFrame:
 def armour(spans: DataFrame) -> DataFrame:
     """doc, facing, sf, width and depth: the first number between heights 15 and 35 whose centre is in the facing's range,
     or 0."""
-    spark = spans.sparkSession
-    facings = F.broadcast(spark.createDataFrame(fixed.FACINGS, "facing string, x_min int, x_max int"))
-    numbers = spans.filter(is_number() & (F.col("y0") > 15) & (F.col("y0") < 35)).join(facings, xc().between(F.col("x_min"), F.col("x_max")))
-    found = numbers.groupBy("doc", "facing").agg(F.min_by(F.col("text").try_cast("int"), "seq").alias("sf"))
-    every = spans.select("doc").distinct().join(facings.select("facing"))
-    return every.join(found, ["doc", "facing"], "left").select("doc", "facing", F.coalesce("sf", F.lit(0)).alias("sf"))
+    number = is_number() & (F.col("y0") > 15) & (F.col("y0") < 35)
+    inside = {name: number & xc().between(lo, hi) for name, lo, hi in fixed.FACINGS}
+    first = [F.min_by(F.when(own, F.col("text").try_cast("int")), F.when(own, F.col("seq"))).alias(name) for name, own in inside.items()]
+    every = F.array(*(F.struct(F.lit(name).alias("facing"), F.coalesce(name, F.lit(0)).alias("sf")) for name in inside))
+    return spans.groupBy("doc").agg(*first).select("doc", F.explode(every).alias("f")).select("doc", "f.facing", "f.sf")
 
 
 def weapons(spans: DataFrame) -> DataFrame:

@@ -61,6 +61,11 @@ def result_count(carriers: int) -> int:
     return max(4, min(6, 2 * carriers)) if carriers else 5
 
 
+def result_counts(carriers: Column) -> Column:
+    """result_count of a column."""
+    return F.when(carriers > 0, F.greatest(F.lit(4), F.least(F.lit(6), 2 * carriers))).otherwise(5)
+
+
 def context(docs: DataFrame, limit: int = 12) -> DataFrame:
     """One row: the first documents by pos under headings, set apart by rules."""
     head = F.concat_ws(" | ", F.concat(F.lit("Source: "), "source_file"), F.concat(F.lit("Type: "), "doc_type"), F.concat(F.lit("Rule: "), "rule_number"), F.concat(F.lit("Page: "), F.col("page").cast("string")))

@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def rule_index(chunks: DataFrame) -> DataFrame:
-    """One row for each rule and chunk that has or mentions it, with rank from 1 by (priority, seq, secondary). chunks:
-    chunk_id, rule_number, all_rule_numbers, doc_type, priority, source_file, content_type, seq."""
+def entries(chunks: DataFrame) -> DataFrame:
+    """One row for each rule and chunk that has or mentions it. chunks: chunk_id, rule_number, all_rule_numbers, doc_type,
+    priority, source_file, content_type, seq."""
     own = F.when(F.col("rule_number").isNotNull(), F.array(F.struct(F.col("rule_number").alias("rule"), F.lit(False).alias("secondary")))).otherwise(F.array().cast("array<struct<rule:string,secondary:boolean>>"))
     rest = F.transform(F.filter(F.array_distinct(F.coalesce("all_rule_numbers", F.array().cast("array<string>"))), lambda r: ~r.eqNullSafe(F.col("rule_number"))), lambda r: F.struct(r.alias("rule"), F.lit(True).alias("secondary")))
-    rows = chunks.select(F.explode(F.concat(own, rest)).alias("e"), "chunk_id", "doc_type", "priority", "source_file", "content_type", "seq").select("e.*", "chunk_id", "doc_type", "priority", "source_file", "content_type", "seq")
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("rule").orderBy("priority", "seq", "secondary", "chunk_id")))
+    return chunks.select(F.explode(F.concat(own, rest)).alias("e"), "chunk_id", "doc_type", "priority", "source_file", "content_type", "seq").select("e.*", "chunk_id", "doc_type", "priority", "source_file", "content_type", "seq")
+
+
+def rule_index(chunks: DataFrame) -> DataFrame:
+    """entries with rank from 1 by (priority, seq, secondary) within each rule; a rule's entries are ranked in one task. For
+    rules that a large part of all chunks has, and for tables that are looked up in, see sources.rule_table."""
+    return entries(chunks).withColumn("rank", F.row_number().over(Window.partitionBy("rule").orderBy("priority", "seq", "secondary", "chunk_id")))
 
 
 def nested(index: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import questions as asked
 from ..operators import rule_index
 from ..sources.replies import Replies
 from ..sources.shared import fresh_path, saved
+from .details import made, select
 from .queries import _STOP, query, read
 from .searches import _CORPUS, _HEAD, corpus
 
@@ -77,3 +78,28 @@ def question_answers(spark, d):
     notes = found["conflicts"].groupBy("question_id").agg(F.md5(lines).alias("conflicts"))
     whole = said.join(notes, "question_id", "left")
     return whole.select(F.col("question_id").alias("item_id"), F.md5("context").alias("context"), F.coalesce("conflicts", F.lit("")).alias("conflicts"), "answer", *(F.col("verdicts")[a].alias(a) for a in fixed.ASPECTS))
+
+
+_ASKED = {"k": "p_partkey", "query": "CASE p_partkey % 5 WHEN 0 THEN concat('What is rule ', CAST(1 + p_partkey % 29 AS STRING), '.', CAST(p_partkey % 90 AS STRING), ' of the ', p_name, '?') WHEN 1 THEN concat('Compare 3.1 with the ', p_name, ' of 2.', CAST(p_partkey % 8 AS STRING)) WHEN 2 THEN concat('Who wins scenario ', CASE WHEN p_partkey % 2 = 0 THEN 'C' ELSE 'H' END, ' with a ', p_name, '?') WHEN 3 THEN concat('Can my ', p_name, ' cross?') ELSE concat('Tell of the ', p_name) END"}
+
+def told_by_patterns(prompts: list[str]) -> list[str]:
+    """A stand-in for a model that classifies the question at the end of each prompt."""
+    import json
+
+    from ..functions import providers
+
+    found = [providers.classified(p.rsplit("Question: ", 1)[1]) for p in prompts]
+    return [f"It is so: {json.dumps(f)}" if f["query_type"] != "concept" else "I can't say." for f in found]
+
+
+@query(f"""WITH q AS ({select('part', _ASKED)})
+          SELECT k, CASE k % 5 WHEN 0 THEN 'direct_rule' WHEN 1 THEN 'comparison' WHEN 2 THEN 'scenario' WHEN 3 THEN 'situation' ELSE 'concept' END AS kind, array_to_string(list_distinct_in_order, ',') AS rules, CASE WHEN k % 5 = 2 THEN CASE WHEN k % 2 = 0 THEN 'C' ELSE 'H' END END AS scenario, true AS asked
+          FROM (SELECT k, CASE WHEN k % 5 < 2 THEN regexp_extract_all(query, '[0-9]+[.][0-9]+') ELSE [] END AS list_distinct_in_order FROM q)""")
+def question_classes(spark, d):
+    """Questions about all parts, put into classes by a stand-in for a model that is sent the prompt of a classification;
+    what it can't say is a concept."""
+    rows = made(spark, d, "part", _ASKED)
+    prompt = models.classification_prompt("the books", F.col("query"), {"FP": "Fire Power"})
+    said = Replies(spark, fresh_path(spark, "replies")).asked(rows.withColumn("asked", prompt.contains("Fire Power") & prompt.endswith(F.col("query"))), prompt, told_by_patterns)
+    c = models.query_class(F.col("reply"))
+    return said.select("k", c["query_type"].alias("kind"), F.array_join(c["rule_numbers"], ",").alias("rules"), c["scenario"].alias("scenario"), "asked")

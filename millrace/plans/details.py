@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, models, providers, text
 from ..operators import evaluation, layout, profile, retrieval, rule_index, vector
-from ..sources import collections, scans, shared, tables
+from ..sources import collections, merged, rule_table, scans, shared, tables
 from .queries import _RULES, own_index, query, read, rules, vector_of
 
 
@@ -165,9 +165,10 @@ def listings_csv(spark, d):
     return tables.listings(spark, path).withColumns({"price": F.col("price").cast("double"), "rating": F.col("rating").cast("double")})
 
 
-@query("SELECT 5000 AS n, 6 AS areas, 3 AS rooms, 8 AS reviews, true AS in_bounds, 1 AS first_id, 5000 AS last_id")
+@query("SELECT CAST(count(*) AS INTEGER) AS n, 6 AS areas, 3 AS rooms, 8 AS reviews, true AS in_bounds, 1 AS first_id, CAST(count(*) AS INTEGER) AS last_id FROM customer")
 def made_up_listings(spark, d):
-    rows = tables.made_up_listings(spark, 5000)
+    """A listing for each customer."""
+    rows = tables.made_up_listings(spark, read(spark, d, "customer").count())
     within = F.bool_and(F.col("price").between(50, 800) & F.col("rating").between(2.5, 5.0) & F.col("neighborhood").isin(tables.NEIGHBOURHOODS) & F.col("room_type").isin(tables.ROOMS) & F.col("review_text").isin(tables.REVIEWS))
     return rows.agg(F.count("*").cast("int").alias("n"), F.count_distinct("neighborhood").cast("int").alias("areas"), F.count_distinct("room_type").cast("int").alias("rooms"), F.count_distinct("review_text").cast("int").alias("reviews"), within.alias("in_bounds"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
@@ -192,6 +193,44 @@ def catalog_patch(spark, d):
     return profile.patched(catalog, overrides).select(F.col("source_file").cast("bigint").alias("k"), "doc_type", "priority", "description")
 
 
+@query("""SELECT event_id, event_type, 'old' AS origin FROM events WHERE event_id % 2 = 0 AND event_id % 3 > 0 AND event_id % 7 > 0 UNION ALL SELECT event_id, event_type, 'new' FROM events WHERE event_id % 3 = 0 AND event_id % 7 > 0
+          UNION ALL SELECT event_id, 'inserted', 'late' FROM events WHERE event_id % 5 = 0 AND (event_id % 7 = 0 OR event_id % 2 = 1 AND event_id % 3 > 0)""")
+def merged_collection(spark, d):
+    """A table by key that is merged on reading: a base, an upsert, tombstones, an insert, compaction in between."""
+    held = merged.Merged(spark, shared.fresh_path(spark, "merged"))
+    rows = read(spark, d, "events").select("event_id", "event_type", F.col("event_id").alias("seq"))
+    held.create(rows.filter("event_id % 2 = 0").withColumn("origin", F.lit("old")), "event_id")
+    held.upsert(rows.filter("event_id % 3 = 0").withColumn("origin", F.lit("new")), "seq")
+    held.compact()
+    held.delete(rows.filter("event_id % 7 = 0"))
+    held.insert(rows.filter("event_id % 5 = 0").select("event_id", F.lit("inserted").alias("event_type"), "seq", F.lit("late").alias("origin")), "seq")
+    return held.get().select("event_id", "event_type", "origin")
+
+
+_HOT = {"chunk_id": "CAST(p_partkey AS STRING)", "rule_number": "CASE WHEN p_partkey % 2 = 0 THEN '1.1' ELSE concat(1 + p_partkey % 29, '.', p_partkey % 90) END", "other": "concat(1 + p_partkey % 7, '.', p_partkey % 11)", "doc_type": "p_brand", "priority": "CAST(p_size % 4 AS INT)", "source_file": "p_type", "content_type": "'rule'", "seq": "p_partkey"}
+_HOT_INDEX = f"""h AS ({select('part', _HOT)}), e AS (SELECT rule_number AS rule, false AS secondary, chunk_id, priority, seq FROM h UNION ALL SELECT other, true, chunk_id, priority, seq FROM h WHERE other <> rule_number),
+          r AS (SELECT rule, chunk_id, CAST(row_number() OVER (PARTITION BY rule ORDER BY priority, seq, secondary, chunk_id) AS INTEGER) AS rank FROM e)"""
+
+
+def hot_chunks(spark, d) -> DataFrame:
+    """Chunks of which half are about one rule."""
+    return made(spark, d, "part", _HOT).withColumn("all_rule_numbers", F.array("other", "rule_number")).drop("other")
+
+
+@query(f"WITH {_HOT_INDEX} SELECT * FROM r")
+def rule_index_ranged(spark, d):
+    """Ranks of all entries, with one rule that half of all chunks have, cut into pieces."""
+    return rule_table.ranked(hot_chunks(spark, d), 8).select("rule", "chunk_id", "rank")
+
+
+@query(f"WITH {_HOT_INDEX} SELECT * FROM r WHERE rule IN ('1.1', '3.2', '30.1', '99.9') AND rank <= 6")
+def rule_lookup_stored(spark, d):
+    """The first entries of a few rules from a stored table, of which few files are read."""
+    path = shared.fresh_path(spark, "index")
+    rule_table.write(hot_chunks(spark, d), path, 8)
+    return rule_table.lookup(spark, path, ["1.1", "3.2", "30.1", "99.9"], 6).select("rule", "chunk_id", "rank")
+
+
 @query("""SELECT event_id, event_type, 'old' AS origin FROM events WHERE event_id % 2 = 0 AND event_id % 3 > 0 UNION ALL SELECT event_id, event_type, 'new' FROM events WHERE event_id % 3 = 0
           UNION ALL SELECT event_id, 'inserted', 'late' FROM events WHERE event_id % 2 = 1 AND event_id % 3 > 0 AND event_id % 5 = 0""")
 def collection_merges(spark, d):

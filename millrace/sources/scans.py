@@ -3,19 +3,29 @@ the stand-ins here need no library."""
 
 from __future__ import annotations
 
-from typing import Protocol
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple, Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tables
+from .shared import saved
+
+
+class Page(NamedTuple):
+    """Native text, whether pictures are embedded, and what makes a picture of the page, called where it is needed only."""
+
+    native: str | None
+    has_image: bool
+    picture: Callable[[], bytes] | None
 
 
 class Extractor(Protocol):
-    """The pages of a file: native text, and a picture of the page; either may be None."""
+    """The pages of a file, one after another: a page's picture is made before the next page is asked for."""
 
-    def __call__(self, content: bytes) -> list[tuple[str | None, bytes | None]]: ...
+    def __call__(self, content: bytes) -> Iterable[Page]: ...
 
 
 class Reader(Protocol):
@@ -28,27 +38,29 @@ class Reader(Protocol):
 PICTURE = b"PICTURE:"
 
 
-def plain_pages(content: bytes) -> list[tuple[str | None, bytes | None]]:
+def plain_pages(content: bytes) -> Iterator[Page]:
     """Pages set apart by form feeds; one that begins with PICTURE has no native text."""
-    parts = content.split(b"\f")
-    return [(None, p[len(PICTURE) :]) if p.startswith(PICTURE) else (p.decode("utf-8", "replace"), None) for p in parts]
+    for p in content.split(b"\f"):
+        yield Page(None, True, lambda p=p: p[len(PICTURE) :]) if p.startswith(PICTURE) else Page(p.decode("utf-8", "replace"), False, None)
 
 
 def plain_reader(picture: bytes) -> str:
     return picture.decode("utf-8", "replace")
 
 
-def pdf_pages(content: bytes) -> list[tuple[str | None, bytes | None]]:
-    """Pages of a PDF, where PyMuPDF is installed."""
+def pdf_pages(content: bytes) -> Iterator[Page]:
+    """Pages of a PDF, where PyMuPDF is installed; a page is rendered when its picture is asked for."""
     import fitz
 
     with fitz.open(stream=content, filetype="pdf") as doc:
-        return [(page.get_text(), page.get_pixmap(dpi=300).tobytes("png")) for page in doc]
+        for page in doc:
+            yield Page(page.get_text(), bool(page.get_images()), lambda page=page: page.get_pixmap(dpi=300).tobytes("png"))
 
 
 def page_texts(files: DataFrame, extract: Extractor = plain_pages, read: Reader | None = plain_reader, least: int = 50) -> DataFrame:
     """source_file, page from 1, kind (native, ocr or empty), text and has_image of the pages of files (path, content).
-    Pictures are read only where the native text has fewer than `least` characters; null contents have no pages."""
+    Pictures are made and read only where the native text has fewer than `least` characters, one at a time; null contents
+    have no pages."""
     schema = "source_file string, page int, native string, scanned string, has_image boolean"
     arrow = pa.schema([("source_file", pa.string()), ("page", pa.int32()), ("native", pa.string()), ("scanned", pa.string()), ("has_image", pa.bool_())])
 
@@ -56,9 +68,9 @@ def page_texts(files: DataFrame, extract: Extractor = plain_pages, read: Reader
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows = []
-                for k, (native, picture) in enumerate(extract(content.as_py()) if content.is_valid else []):
-                    wanted = picture is not None and read is not None and len((native or "").strip()) < least
-                    rows.append({"source_file": path.rsplit("/", 1)[-1], "page": k + 1, "native": native, "scanned": read(picture) if wanted else None, "has_image": picture is not None})
+                for k, page in enumerate(extract(content.as_py()) if content.is_valid else []):
+                    wanted = page.picture is not None and read is not None and len((page.native or "").strip()) < least
+                    rows.append({"source_file": path.rsplit("/", 1)[-1], "page": k + 1, "native": page.native, "scanned": read(page.picture()) if wanted else None, "has_image": page.has_image})
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     pages = files.select("path", "content").mapInArrow(run, schema)
@@ -91,10 +103,9 @@ def read_folder(spark: SparkSession, folder: str, to: str, extract: Extractor =
     home = spark._jvm.org.apache.hadoop.fs.Path(f"{to}/_SUCCESS")
     if home.getFileSystem(spark._jsc.hadoopConfiguration()).exists(home):
         files = unread(files, spark.read.parquet(to))
-    pages = page_texts(files, extract, read)
+    pages = saved(page_texts(files, extract, read), "pages")  # each file is read once, for its text and its statistics
     marked_texts(pages).write.mode("append").parquet(to)
-    names = files.select(F.element_at(F.split("path", "/"), -1).alias("source_file")).distinct()
-    return statistics(pages.join(names, "source_file", "left_semi"))
+    return statistics(pages)
 
 
 def statistics(pages: DataFrame) -> DataFrame:
