@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, models, providers, text
 from ..operators import evaluation, layout, profile, retrieval, rule_index, vector
-from ..sources import collections, merged, rule_table, scans, shared, tables
+from ..sources import catalog, collections, merged, rule_table, scans, shared, tables
 from .queries import _RULES, own_index, query, read, rules, vector_of
 
 
@@ -207,6 +207,23 @@ def merged_collection(spark, d):
     return held.get().select("event_id", "event_type", "origin")
 
 
+@query("""SELECT c.conv_id, c.turn, md5(concat_ws(chr(10), p.text, c.text, n.text)) AS expanded FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1
+          LEFT JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1""")
+def catalog_neighbours(spark, d):
+    """Neighbours from a table of the catalog that was made on first use and inserted into twice; the second time changes
+    nothing, for its keys are there."""
+    rows = read(spark, d, "conversations").withColumn("chunk_id", F.concat_ws("_chunk_", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    path = shared.fresh_path(spark, "chunks")
+    name = f"millrace_{path.rsplit('-', 1)[-1]}"
+    for _ in range(2):
+        catalog.create(spark, name, "chunk_id string, conv_id bigint, turn bigint, role string, text string", "chunk_id", 8, path)
+    catalog.insert_ignore(spark, name, rows, "chunk_id", "turn")
+    chunks = catalog.insert_ignore(spark, name, rows.withColumn("text", F.lit("again")), "chunk_id", "turn")
+    found = shared.saved(retrieval.neighbours(chunks, chunks).select("conv_id", "turn", F.md5("expanded").alias("expanded")))
+    catalog.drop(spark, name)
+    return found
+
+
 _HOT = {"chunk_id": "CAST(p_partkey AS STRING)", "rule_number": "CASE WHEN p_partkey % 2 = 0 THEN '1.1' ELSE concat(1 + p_partkey % 29, '.', p_partkey % 90) END", "other": "concat(1 + p_partkey % 7, '.', p_partkey % 11)", "doc_type": "p_brand", "priority": "CAST(p_size % 4 AS INT)", "source_file": "p_type", "content_type": "'rule'", "seq": "p_partkey"}
 _HOT_INDEX = f"""h AS ({select('part', _HOT)}), e AS (SELECT rule_number AS rule, false AS secondary, chunk_id, priority, seq FROM h UNION ALL SELECT other, true, chunk_id, priority, seq FROM h WHERE other <> rule_number),
           r AS (SELECT rule, chunk_id, CAST(row_number() OVER (PARTITION BY rule ORDER BY priority, seq, secondary, chunk_id) AS INTEGER) AS rank FROM e)"""

@@ -33,6 +33,22 @@ def pages(docs: DataFrame) -> DataFrame:
     return each.select("source_file", F.when(F.col("k") > 0, number.try_cast("int")).otherwise(1).alias("page"), F.regexp_replace(body, r"(?U)^\s+|\s+$", "").alias("text"), "k").filter("k > 0 or text <> ''").drop("k")
 
 
+def pages_of_files(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
+    """As pages, of the text files of a folder, of which a large one is many tasks' work: a page is a record of the reader,
+    which cuts a file by bytes and gives each task the pages that begin in its part. Markers stand at the beginnings of
+    lines that end with a line feed, and have a number; what is before a file's first marker is page 1, if it isn't blank."""
+    rows = spark.read.option("lineSep", "\n--- PAGE ").option("pathGlobFilter", glob).text(path)
+    name = F.url_decode(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    # the first record of a file keeps its marker, the others have lost theirs
+    part = F.regexp_replace("value", "^--- PAGE ", "")
+    number = F.regexp_extract("part", r"^(\d+)[^\n]*---[^\n]*(?:\n|\z)", 1)
+    each = rows.select(name.alias("source_file"), part.alias("part")).withColumn("number", number)
+    marked = F.col("number") != ""
+    body = F.when(marked, F.regexp_replace("part", r"^[^\n]*\n?", "")).otherwise(F.col("part"))
+    text = F.regexp_replace(body, r"(?U)^\s+|\s+$", "")
+    return each.select("source_file", F.when(marked, F.col("number").try_cast("int")).otherwise(1).alias("page"), text.alias("text"), marked.alias("marked")).filter("marked or text <> ''").drop("marked")
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """source_file, line_no from 0, line and the page that the last marker before it names. Pages are carried along within
     each document, so nothing is shuffled."""

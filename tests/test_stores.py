@@ -197,3 +197,51 @@ def test_product_codes_have_their_recall(spark, tmp_path):
     rough = {(a.query_id, a.vec_id) for a in codes.candidates(stored, book, asked, 10).collect()}
     fine = {(a.query_id, a.vec_id) for a in codes.top_k(stored, book, vectors, asked, 10, rerank=100).collect()}
     assert len(want) == 600 and len(rough & want) >= 0.6 * len(want) and len(fine & want) >= 0.9 * len(want)
+
+
+def test_catalog_tables(spark, tmp_path):
+    """CREATE IF NOT EXISTS, insert-ignore, and joins by key that leave the table where it is."""
+    from millrace.operators import retrieval
+    from millrace.sources import catalog
+
+    name = "millrace_test_chunks"
+    try:
+        for _ in range(2):
+            catalog.create(spark, name, "chunk_id string, text string, o int", "chunk_id", 4, f"file://{tmp_path}/t")
+        rows = spark.createDataFrame([(f"a_chunk_{i}", f"t{i}", i) for i in range(50)] + [("a_chunk_3", "later", 99), (None, "none", 1)], "chunk_id string, text string, o int")
+        assert catalog.insert_ignore(spark, name, rows, "chunk_id", "o").count() == 51
+        more = spark.createDataFrame([("a_chunk_3", "again", 0), ("a_chunk_50", "new", 1), (None, "more", 0)], rows.schema)
+        table = catalog.insert_ignore(spark, name, more, "chunk_id", "o")
+        assert {x.chunk_id: x.text for x in table.collect()} == {f"a_chunk_{i}": f"t{i}" for i in range(50)} | {"a_chunk_50": "new", None: "none"}
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = retrieval.neighbours(spark.createDataFrame([("a_chunk_7", "t7")], "chunk_id string, text string"), table.select("chunk_id", "text"))
+        assert found.first().expanded == "t6\nt7\nt8"
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        scans_ = [line for line in plan.splitlines() if "FileScan" in line]
+        assert scans_ and plan.count("Exchange hashpartitioning") <= 2 and "SelectedBucketsCount: 4 out of 4" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        catalog.drop(spark, name)
+
+
+def test_pages_of_a_large_file_are_many_tasks_work(spark, tmp_path):
+    from millrace.sources import tables
+
+    (tmp_path / "in").mkdir()
+    r = random.Random(1)
+    body = lambda: "\n".join("x " + " ".join(r.choice(["fire", "--- PAGE", "wäll", ""]) for _ in range(r.randint(0, 30))) for _ in range(r.randint(0, 6)))
+    big = "".join(f"--- PAGE {k}{r.choice(['', ' [OCR]', ' [EMPTY]'])} ---\n{body()}\n" for k in range(1, 600))
+    texts = {"big.txt": big, "before.txt": f"a preamble\n{big[:2000]}", "plain.txt": "no marker here\nat all", "blank.txt": " \n", "one.txt": "--- PAGE 7 ---"}
+    for name, value in texts.items():
+        (tmp_path / "in" / name).write_text(value)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        found = tables.pages_of_files(spark, f"file://{tmp_path}/in")
+        assert found.rdd.getNumPartitions() >= 6
+        got = sorted(map(tuple, found.collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = tables.pages(spark.createDataFrame(list(texts.items()), "source_file string, text string"))
+    assert got == sorted(map(tuple, want.collect())) and len(got) > 600
