@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     made = saved(sketches(docs, width, rows, bands))
     sums = F.struct("n", "s1", "s2")
     varied = ~F.max(sums).eqNullSafe(F.min(sums))
-    if not made.groupBy("doc_id").agg(varied.alias("varied")).filter("varied").isEmpty():
+    if made.groupBy("doc_id").agg(varied.alias("varied")).agg(F.bool_or("varied")).first()[0]:
         return _by_row(docs, width, percent, rows, bands)
     classes = saved(made.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("size")).filter("size > 1"))
     slim = made.select("doc_id", "n", "s1", "s2")
