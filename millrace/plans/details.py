@@ -76,12 +76,16 @@ _TYPE_REPLY = "CASE p_partkey % 4 WHEN 0 THEN 'It is {\"doc_type\": \"errata\",
 _GLOSSARY_REPLY = "CASE WHEN p_partkey % 2 = 0 THEN concat('{\"MP\": \"', p_name, '\"}') ELSE 'none of them' END"
 
 
-@query("""SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN 'direct_rule' WHEN 4 THEN 'scenario' ELSE 'concept' END AS query_type, CASE WHEN p_partkey % 5 = 0 THEN concat(p_partkey, '.1') ELSE '' END AS rules,
-          CASE p_partkey % 5 WHEN 1 THEN 'B' WHEN 4 THEN 'C' END AS scenario, CAST(CASE WHEN p_partkey % 5 = 4 THEN 2 ELSE 0 END AS INTEGER) AS parts,
-          CASE p_partkey % 4 WHEN 0 THEN 'errata' WHEN 1 THEN 'codex' WHEN 2 THEN 'unknown' ELSE 'novel' END AS doc_type, CASE p_partkey % 4 WHEN 0 THEN 4 WHEN 1 THEN 2 ELSE 9 END AS priority,
-          CASE WHEN p_partkey % 2 = 0 THEN concat('MP=', p_name) ELSE concat('FP=Fire Power,MP=Move ', p_partkey) END AS glossary,
-          CASE p_partkey % 3 WHEN 0 THEN 'Speed,Weapon' WHEN 1 THEN '' ELSE 'Hull' END AS odd,
-          CASE p_partkey % 3 WHEN 0 THEN 'EXACT' WHEN 1 THEN 'CITED' ELSE 'FAIL' END AS grade FROM part""")
+@query(rf"""WITH t AS (SELECT p_partkey AS k, regexp_extract({_REPLY}, '(?s)\{{.*\}}') AS r, regexp_extract({_TYPE_REPLY}, '\{{[^}}]+\}}') AS kind, regexp_extract({_GLOSSARY_REPLY}, '(?s)\{{.*\}}') AS g, p_partkey FROM part),
+          j AS (SELECT k, CASE WHEN json_valid(r) THEN r END AS r, CASE WHEN json_valid(kind) THEN kind END AS kind, CASE WHEN json_valid(g) THEN g END AS g,
+                CASE k % 3 WHEN 0 THEN '{{"attributes": {{"Thrust": "1", "Speed": "2"}}, "grids": {{}}, "collections": {{"Weapon": "[]"}}}}' WHEN 2 THEN '{{"grids": {{"Front": "1", "Hull": "2"}}}}' END AS entity, CASE k % 3 WHEN 0 THEN 'Exact and cited' WHEN 1 THEN 'It is cited.' ELSE '' END AS said FROM t),
+          n AS (SELECT *, coalesce(json_extract_string(kind, '$.doc_type'), 'unknown') AS doc_type FROM j)
+          SELECT k, CASE WHEN json_extract_string(r, '$.query_type') IN ({', '.join(f"'{x}'" for x in fixed.QUERY_TYPES)}) THEN json_extract_string(r, '$.query_type') ELSE 'concept' END AS query_type, coalesce(array_to_string(CAST(json_extract(r, '$.rule_numbers') AS VARCHAR[]), ','), '') AS rules,
+                 nullif(json_extract_string(r, '$.scenario'), '') AS scenario, CAST(coalesce(json_array_length(r, '$.sub_queries'), 0) AS INTEGER) AS parts, doc_type,
+                 CAST(coalesce(CAST(json_extract(kind, '$.priority') AS INTEGER), CASE doc_type {' '.join(f"WHEN '{x}' THEN {y}" for x, y in fixed.PRIORITIES.items())} END, 9) AS INTEGER) AS priority,
+                 CASE WHEN g IS NULL THEN concat('FP=Fire Power,MP=Move ', k) ELSE concat('MP=', json_extract_string(g, '$.MP')) END AS glossary,
+                 array_to_string(list_sort(list_concat(list_filter(coalesce(json_keys(entity, '$.attributes'), []), lambda x: x <> 'Thrust'), list_filter(coalesce(json_keys(entity, '$.grids'), []), lambda x: x <> 'Front'), list_filter(coalesce(json_keys(entity, '$.collections'), []), lambda x: x <> 'Missile'))), ',') AS odd,
+                 CASE WHEN contains(upper(said), 'EXACT') THEN 'EXACT' WHEN contains(upper(said), 'FAITHFUL') THEN 'FAITHFUL' WHEN contains(upper(said), 'CITED') THEN 'CITED' ELSE 'FAIL' END AS grade FROM n""")
 def model_replies(spark, d):
     """What is read from a model's replies, whatever it says."""
     t = made(spark, d, "part", {"k": "p_partkey", "r": _REPLY, "kind": _TYPE_REPLY, "g": _GLOSSARY_REPLY, "own": "array('FP: Fire Power', concat('MP: Move ', CAST(p_partkey AS STRING)))"})

@@ -149,7 +149,8 @@ def xref_extract(spark, d):
 _TYPED = "CASE p_partkey % 7 WHEN 0 THEN concat(p_name, chr(10), ' Q. why?') WHEN 1 THEN concat('Clarification: no', chr(10), 'CLARIFICATION: yes, a variant: too') WHEN 2 THEN concat('A. so', chr(10), 'VARIANT: b') WHEN 3 THEN concat('B. ', p_name) WHEN 4 THEN concat('a VARIANT: ', p_name) WHEN 5 THEN concat('Z: ', p_name) ELSE p_name END"
 
 
-@query("SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'qa' WHEN 1 THEN 'clarification' WHEN 2 THEN 'variant' WHEN 3 THEN 'scenario_rule' ELSE 'rule' END AS content_type FROM part")
+@query(rf"""WITH t AS (SELECT p_partkey, {_TYPED} AS text FROM part), q AS (SELECT *, regexp_matches(text, '(?m)(?:^|\n)\s*(?:Q\.|A\.|CLARIFICATION:|VARIANT:)') AS question FROM t)
+          SELECT p_partkey, CASE WHEN question AND contains(upper(text), 'CLARIFICATION:') THEN 'clarification' WHEN question AND contains(upper(text), 'VARIANT:') THEN 'variant' WHEN question THEN 'qa' WHEN regexp_matches(text, '^\s*[A-K][.:]\s+') THEN 'scenario_rule' ELSE 'rule' END AS content_type FROM q""")
 def content_type(spark, d):
     return read(spark, d, "part").select("p_partkey", text.content_type(F.expr(_TYPED)).alias("content_type"))
 
@@ -214,8 +215,15 @@ def files(spark, d) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", name.alias("source_file"), title.alias("title"))
 
 
-@query(f"""SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'errata' WHEN 1 THEN 'journal' WHEN 2 THEN 'codex' WHEN 3 THEN 'scenarios' WHEN 4 THEN 'core_rules' WHEN 5 THEN 'errata' ELSE 'unknown' END AS doc_type,
-           CASE p_partkey % 7 WHEN 0 THEN 3 WHEN 1 THEN 6 WHEN 2 THEN 2 WHEN 3 THEN 8 WHEN 4 THEN 1 WHEN 5 THEN 3 ELSE 9 END AS priority, CASE p_partkey % 7 WHEN 4 THEN NULL WHEN 5 THEN 3 WHEN 6 THEN 9 END AS edition FROM part""")
+def first_rule(name: str, title: str, what: int) -> str:
+    """The type (1) or priority (2) by the first rule that a name, or else a title, meets."""
+    cases = [(name, r) for r in fixed.FILE_NAME_RULES] + [(title, r) for r in fixed.CONTENT_RULES]
+    return "CASE " + " ".join(f"WHEN regexp_matches({text_}, '{r[0]}') THEN " + (f"'{r[1]}'" if what == 1 else str(r[2])) for text_, r in cases) + f" ELSE {chr(39) + 'unknown' + chr(39) if what == 1 else 9} END"
+
+
+@query(rf"""WITH f AS (SELECT p_partkey, regexp_replace(lower({_NAME}), '\.[a-z0-9]+$', '') AS name, CASE WHEN p_partkey % 7 = 5 THEN 'the published errata, 3rd edition' ELSE 'nothing' END AS title FROM part)
+           SELECT p_partkey, {first_rule('name', 'title', 1)} AS doc_type, CAST({first_rule('name', 'title', 2)} AS INTEGER) AS priority,
+           CAST(coalesce(nullif(regexp_extract(name, '(\d+)(?:st|nd|rd|th|e)?\s*(?:edition|ed|e\b)', 1), ''), nullif(regexp_extract(title, '(\d+)(?:st|nd|rd|th|e)?\s*(?:edition|ed)', 1), '')) AS INTEGER) AS edition FROM f""")
 def file_classify(spark, d):
     return profile.classified(files(spark, d)).select("p_partkey", "doc_type", "priority", "edition")
 

@@ -222,7 +222,7 @@ def coded_topk(spark, d):
 _HINT = {"k": "p_partkey", "sources": "array(concat('The_', p_brand), p_name, p_type, 'x', 'y', 'HINT')", "hint": "CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN 'hint' ELSE '_brand' END"}
 
 
-@query("SELECT p_partkey AS k, p_partkey % 3 <> 1 AS hit FROM part")
+@query(f"SELECT k, len(list_filter(sources[1:5], lambda s: contains(lower(s), lower(hint)))) > 0 AS hit FROM ({select('part', _HINT).replace('array(', 'list_value(')})")
 def source_hints(spark, d):
     return made(spark, d, "part", _HINT).select("k", evaluation.hint_in_top(F.col("sources"), F.col("hint")).alias("hit"))
 
