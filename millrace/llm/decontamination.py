@@ -78,8 +78,11 @@ def _found() -> list[Column]:
 
 
 def _shuffled(own: DataFrame, probes: DataFrame, width: int) -> DataFrame:
-    """As the broadcast join of contamination, by joins that shuffle: each word goes with those around it."""
-    tokens = own.select("row", F.size("w").alias("size"), "w", F.posexplode("w").alias("pos", "word"))
+    """As the broadcast join of contamination, by joins that shuffle: words alone, of which the probes' are kept; these go back
+    to their documents, and each goes on with the words around it."""
+    bare = own.select("row", F.posexplode("w").alias("pos", "word")).join(probes.select("word").distinct(), "word", "left_semi")
+    places = bare.groupBy("row").agg(F.collect_list(F.struct("pos", "word")).alias("places"))  # no more than a document's words
+    tokens = own.join(places, "row").select("row", F.size("w").alias("size"), "w", F.explode("places").alias("p")).select("row", "size", "w", "p.*")
     first = F.greatest(F.col("pos") - (width - 1), F.lit(0))
     tokens = tokens.select("row", "size", "pos", "word", first.alias("first"), F.slice("w", first + 1, 2 * width - 1).alias("around"))
     start, length = F.col("pos") - F.col("at"), F.size("window")
