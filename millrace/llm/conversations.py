@@ -26,20 +26,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, shuffle_partitions
+from .common import saved, shuffle_partitions, worker_cache
 
 #: Rows and bytes of a conversation that one task parses in one piece.
 PIECE_ROWS, PIECE_BYTES = 10_000, 64 << 20
 #: Long conversations whose ids are broadcast, at most; beyond, the same join shuffles.
 MOST_BROADCAST = 500_000
-#: Symbols of a parse that is kept for the next conversation with the same ones, at most.
-KEPT_SYMBOLS = 64
+#: Symbols of a parse that is kept for the next conversation with the same ones, and parses kept by a worker, at most.
+KEPT_SYMBOLS, KEPT_PARSES = 64, 1 << 16
 
 KEEP, REROLE, DELETE, INSERT = "KRDI"
 COST = {KEEP: 0, REROLE: 3, DELETE: 4, INSERT: 3}
@@ -120,12 +119,14 @@ def finished(chart_set: Set) -> tuple[int, str]:
 
 def best_edits(symbols: str) -> tuple[int, str]:
     """The least (cost, audit) of a whole conversation."""
-    return _kept_edits(symbols) if len(symbols) <= KEPT_SYMBOLS else finished(parsed(_START, symbols))
-
-
-@lru_cache(1 << 16)
-def _kept_edits(symbols: str) -> tuple[int, str]:
-    return finished(parsed(_START, symbols))
+    if len(symbols) > KEPT_SYMBOLS:
+        return finished(parsed(_START, symbols))
+    kept = worker_cache("edits")
+    if symbols not in kept:
+        if len(kept) >= KEPT_PARSES:
+            kept.clear()
+        kept[symbols] = finished(parsed(_START, symbols))
+    return kept[symbols]
 
 
 def symbol_of(role: str, fault: str | None) -> str:
