@@ -308,7 +308,8 @@ def body_size(spans: DataFrame, first_pages: int = 15) -> DataFrame:
 
 def layout_chunks(lines: DataFrame) -> DataFrame:
     """Chunks of layout lines (doc, carrier, seq, page, text, size, body_size), split at headings by font size. A doc's
-    lines are one group; it is bounded by the largest doc."""
+    lines are one group; it is bounded by the largest doc. A line without a size counts as body text, a doc without a
+    carrier as one of `Unknown`, a body without a size as one of 10."""
     schema = "doc string, carrier string, n int, text string, section string, subsection string, page int"
 
     def run(table: pa.Table) -> pa.Table:
@@ -316,14 +317,16 @@ def layout_chunks(lines: DataFrame) -> DataFrame:
         out, section, sub, own, size, page = [], "Introduction", "", [], 0, 1
 
         def emit():
-            head = f"[Carrier: {rows[0]['carrier']}] [Section: {section}] [Subsection: {sub}] "
+            head = f"[Carrier: {rows[0]['carrier'] or 'Unknown'}] [Section: {section}] [Subsection: {sub}] "
             out.append((rows[0]["doc"], rows[0]["carrier"], len(out) + 1, head + "\n".join(own), section, sub, page))
 
         for r in rows:
             line = (r["text"] or "").strip()
-            if not line or r["size"] < 7.0:
+            body = 10.0 if r["body_size"] is None else r["body_size"]
+            font = body if r["size"] is None else r["size"]
+            if not line or font < 7.0:
                 continue
-            level = (1 if r["size"] >= r["body_size"] * 1.4 else 2) if r["size"] >= r["body_size"] * 1.15 and len(line) < 120 else 0
+            level = (1 if font >= body * 1.4 else 2) if font >= body * 1.15 and len(line) < 120 else 0
             if not level and len(line) < 40 and line.upper().startswith(("SECTION ", "PART ")):
                 level = 1
             if level:

@@ -455,4 +455,4 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return oversample_boost_topk(spark, d)
 
 
-from . import batches, details, folds, searches  # noqa: E402, F401  they register their queries
+from . import batches, details, folds, laid_out, searches  # noqa: E402, F401  they register their queries

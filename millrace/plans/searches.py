@@ -309,22 +309,30 @@ def sheet_grids(spark, d):
     return found
 
 
-@query(rf"""WITH {_UNIT}, {_NAMED}, {_THRUST}, {_ARMED}, {_ROCKETS}, f AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {a}, {b})" for n, a, b in fixed.FACINGS)}) x(facing, lo, hi)),
+_WHOLE_SHEETS = rf"""WITH {_UNIT}, {_NAMED}, {_THRUST}, {_ARMED}, {_ROCKETS}, f AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {a}, {b})" for n, a, b in fixed.FACINGS)}) x(facing, lo, hi)),
           v AS (SELECT doc, facing, arg_min(CAST(text AS INTEGER), seq) AS sf FROM s JOIN f ON xc BETWEEN lo AND hi WHERE regexp_matches(text, '^\d+$') AND y0 > 15 AND y0 < 35 GROUP BY 1, 2)
           SELECT e.doc, 'vehicle' AS entity_type, coalesce(n.name, 'Unknown') AS name, CAST(max_thrust AS VARCHAR) AS thrust, CAST(9 AS INTEGER) AS n_grids,
           (SELECT string_agg(concat(f.facing, '=', coalesce(v.sf, 0)), ',' ORDER BY f.facing) FROM f LEFT JOIN v ON v.facing = f.facing AND v.doc = e.doc) AS armour,
           coalesce((SELECT string_agg(concat_ws('/', a.name, location, damage, range), ',' ORDER BY row, half, a.name) FROM a WHERE a.doc = e.doc), '') AS weapons, coalesce((SELECT string_agg(concat(type, 'x', count), ',' ORDER BY type) FROM m WHERE m.doc = e.doc), '') AS missiles
-          FROM (SELECT DISTINCT doc FROM s) e LEFT JOIN n USING (doc) LEFT JOIN t USING (doc)""")
+          FROM (SELECT DISTINCT doc FROM s) e LEFT JOIN n USING (doc) LEFT JOIN t USING (doc)"""
+
+
+def shown(back: DataFrame) -> DataFrame:
+    """Entities as flat rows."""
+    weapons = F.array_join(F.transform(F.col("collections.Weapons"), lambda w: F.concat_ws("/", w["Name"], w["Location"], w["Damage"], w["Range"])), ",")
+    missiles = F.array_join(F.transform(F.col("collections.Missiles"), lambda m: F.concat(m["Type"], F.lit("x"), m["Count"].cast("string"))), ",")
+    shields = F.array_sort(F.transform(F.filter(F.map_entries("grids"), lambda e: e["value"]["SF"].isNotNull()), lambda e: F.concat(e["key"], F.lit("="), e["value"]["SF"].cast("string"))))
+    return back.select("doc", "entity_type", "name", F.col("attributes")["Maximum Thrust"].alias("thrust"), F.size("grids").alias("n_grids"), F.array_join(shields, ",").alias("armour"), weapons.alias("weapons"), missiles.alias("missiles"))
+
+
+@query(_WHOLE_SHEETS)
 def sheet_entities(spark, d):
     """Whole entities, written as JSON and read again."""
     path = shared.fresh_path(spark, "entities")
     made_ = layout.entities(made(spark, d, "part", _SHEET))
     collections.write_json(made_, path)
     back = spark.read.schema(made_.schema).json(path)
-    weapons = F.array_join(F.transform(F.col("collections.Weapons"), lambda w: F.concat_ws("/", w["Name"], w["Location"], w["Damage"], w["Range"])), ",")
-    missiles = F.array_join(F.transform(F.col("collections.Missiles"), lambda m: F.concat(m["Type"], F.lit("x"), m["Count"].cast("string"))), ",")
-    shields = F.array_sort(F.transform(F.filter(F.map_entries("grids"), lambda e: e["value"]["SF"].isNotNull()), lambda e: F.concat(e["key"], F.lit("="), e["value"]["SF"].cast("string"))))
-    return back.select("doc", "entity_type", "name", F.col("attributes")["Maximum Thrust"].alias("thrust"), F.size("grids").alias("n_grids"), F.array_join(shields, ",").alias("armour"), weapons.alias("weapons"), missiles.alias("missiles"))
+    return shown(back)
 
 
 _FONT = {"doc": "CAST(s_nationkey AS STRING)", "page": "CAST(s_suppkey % 30 AS INT)", "size": "8 + (s_suppkey % 4) / 2.04", "text": "s_name"}

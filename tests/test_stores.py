@@ -245,3 +245,29 @@ def test_pages_of_a_large_file_are_many_tasks_work(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     want = tables.pages(spark.createDataFrame(list(texts.items()), "source_file string, text string"))
     assert got == sorted(map(tuple, want.collect())) and len(got) > 600
+
+
+def test_spans_of_files(spark, tmp_path):
+    import json
+
+    from millrace.sources import spans
+
+    def line(text, size, page=1, block=0, n=0, x0=0.0, y0=0.0):
+        return json.dumps({"page": page, "block": block, "line": n, "text": text, "size": size, "x0": x0, "y0": y0, "x1": x0 + 20, "y1": y0 + 8})
+
+    (tmp_path / "in").mkdir()
+    body = [line("low ", 10.0, block=0, y0=200.0), line("er", None, block=0, y0=201.0), line("Head", 15.0, block=1, y0=20.0), line("b" * 160, None, block=1, n=1, y0=40.0), line("Next", 15.0, page=2)]
+    (tmp_path / "a.pdf").write_text("\n".join(body))
+    (tmp_path / "in" / "b.pdf").write_text(line("whole", 10.0) + "\n\n" + "{broken\n" + line("late", 10.0))
+    (tmp_path / "c.txt").write_text("not read")
+    (tmp_path / "d.pdf").write_text("")
+    found = spans.read_folder(spark, f"file://{tmp_path}")
+    assert sorted((r.doc, r.seq, r.text) for r in found.collect() if r.error is None) == [("a", 0, "low "), ("a", 1, "er"), ("a", 2, "Head"), ("a", 3, "b" * 160), ("a", 4, "Next"), ("b", 0, "whole")]
+    assert [(r.doc, r.seq) for r in found.filter("error is not null").collect()] == [("b", 1)]
+    assert [tuple(r) for r in spans.lines(spans.readable(found)).orderBy("seq").select("seq", "page", "text", "size").collect()] == [(1, 1, "Head", 15.0), (2, 1, "b" * 160, None), (3, 1, "low er", 10.0), (4, 2, "Next", 15.0)]
+    chunks = spans.section_chunks(found, F.lit(None).cast("string")).collect()
+    assert [(r.doc, r.n, r.section, r.page) for r in chunks] == [("a", 1, "Head", 1)]
+    assert chunks[0].text == "[Carrier: Unknown] [Section: Head] [Subsection: ] " + "b" * 160 + "\nlow er"
+    assert [(r.doc, r.name) for r in spans.sheets(found).collect()] == [("a", "Unknown")]
+    empty = spark.createDataFrame([("x.pdf", None)], "path string, content binary")
+    assert spans.section_chunks(spans.file_spans(empty), F.lit("c")).count() == 0 and spans.sheets(spans.file_spans(empty)).count() == 0
