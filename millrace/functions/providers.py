@@ -83,10 +83,14 @@ def first_pages(text: Column, n: int = 3) -> Column:
     return F.array_join(F.slice(parts, 1, n), " ")
 
 
+def even_text(text: Column) -> Column:
+    """The text in lower case with white space made even; null is empty."""
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " ")))
+
+
 def similar_text(a: Column, b: Column, threshold: float = 0.90) -> Column:
     """Whether two texts, white space made even and in lower case, are alike by the ratio of their matching blocks; not if
     either is null or blank. Texts whose lengths alone rule that out are not compared."""
-    even = lambda t: F.lower(F.trim(F.regexp_replace(F.coalesce(t, F.lit("")), r"(?U)\s+", " ")))
 
     @F.pandas_udf("boolean")
     def alike(x, y):
@@ -100,4 +104,4 @@ def similar_text(a: Column, b: Column, threshold: float = 0.90) -> Column:
 
         return pd.Series([one(p, q) for p, q in zip(x, y)], dtype=bool)
 
-    return alike(even(a), even(b))
+    return alike(even_text(a), even_text(b))

@@ -1,14 +1,16 @@
-"""Files of layout spans as queries: chunks by headings of larger type, and entities of sheets."""
+"""Files as queries: chunks by headings of larger type, entities of sheets, and texts that are nearly those of others."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import providers
+from ..operators import similar
 from ..sources import spans
 from ..sources.shared import saved
 from .details import made, select
-from .queries import query
+from .queries import query, read
 from .searches import _SHEET, _WHOLE_SHEETS, shown
 
 
@@ -67,3 +69,11 @@ def sheet_files(spark, d):
     first = made(spark, d, "part", _SHEET).withColumns({"page": F.lit(1), "block": F.col("seq") % 4, "line": F.lit(0), "size": F.lit(9.0)})
     both = first.unionByName(first.withColumns({"page": F.lit(2), "seq": F.col("seq") + 10_000_000, "text": F.concat(F.lit("9"), "text")}))
     return shown(spans.sheets(saved(spans.file_spans(files(both, "doc % 7 = 3")))))
+
+
+@query()
+def near_copies(spark, d):
+    """The documents that are nearly the same, on their first three pages, as one whose id is divisible by 100."""
+    pages = read(spark, d, "documents").select(F.col("doc_id").alias("key"), providers.even_text(providers.first_pages(F.col("text"))).alias("text"))
+    found = similar.near_texts(pages.filter("key % 100 = 0").withColumnRenamed("key", "query_id"), pages)
+    return found.filter("query_id <> key").select("query_id", F.col("key").alias("doc_id"), F.round("ratio", 6).alias("ratio"))
