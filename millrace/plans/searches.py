@@ -103,9 +103,10 @@ def answered(kind: str, preset: str) -> str:
 
 
 def whole_answer(spark, d, kind: str, preset: str) -> DataFrame:
-    chunks = corpus(spark, d)
+    chunks = shared.saved(corpus(spark, d), "chunks")  # each branch reads them and their index again
+    index = shared.saved(rule_index.rule_index(chunks), "index")
     asked = {"query_type": kind, "rule_numbers": _NUMBERS, "scenario": "A", "sub_queries": ["blue bolt"] if kind == "concept" else []}
-    found = retrieval.answer_context(chunks, rule_index.rule_index(chunks), _ASKED, embedder(spark, d), asked, preset=preset)
+    found = retrieval.answer_context(chunks, index, _ASKED, embedder(spark, d), asked, preset=preset)
     row = lambda part, what, value: [F.lit(part).alias("part"), F.col(what).alias("what"), value.cast("string").alias("value")]
     rows = found["documents"].select(*row("document", "chunk_id", F.col("pos")))
     rows = rows.unionByName(found["references"].select(*row("reference", "chunk_id", F.col("pos"))))
