@@ -83,3 +83,35 @@ def test_near_texts_against_all_pairs(spark, monkeypatch):
     none = spark.createDataFrame([], "key long, text string")
     assert similar.near_texts(spark.createDataFrame(asked, "query_id long, text string"), none).count() == 0
     assert similar.near_texts(none.withColumnRenamed("key", "query_id"), table).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.9])
+def test_looking_up_pieces_loses_nothing(threshold):
+    """Queries of a block, found by the pieces that they are cut into, against all pairs; few unlike ones are let through."""
+    all_ = [t for t in texts(5) if len(t) < 500] + [edited(random.Random(k), words(random.Random(9), 1500), k * k) for k in range(9)]
+    block = similar.Block([(str(k), t) for k, t in enumerate(all_)])
+    flags, through, reached = block.flags(), 0, 0
+    for b in all_:
+        got = set(block.candidates(similar.pieces(similar.codes_of(b), similar.PIECE), flags, len(b), similar.most_blocks(b), lambda b=b: similar.counted(b)[0], threshold).tolist())
+        through += len(got)
+        for j, a in enumerate(block.bodies):
+            if SequenceMatcher(None, a, b).ratio() >= threshold:
+                reached += 1
+                assert j in got, (a, b)
+    assert len(all_) < reached <= through
+    r = random.Random(6)
+    vocabulary = [words(r, r.randrange(3, 9), "etaoinsrhldcum") for _ in range(2000)]
+    prose = [" ".join(r.choice(vocabulary) for _ in range(400)) for _ in range(60)]
+    many = similar.Block([(str(k), t) for k, t in enumerate(prose)])
+    let = [len(many.candidates(similar.pieces(similar.codes_of(t), similar.PIECE), many.flags(), len(t), similar.most_blocks(t), lambda t=t: similar.counted(t)[0], 0.9)) for t in prose]
+    assert let == [1] * 60  # counts of single characters alone let nearly all pairs of these through
+
+
+def test_ratio_from_is_the_ratio():
+    from millrace.functions.providers import ratio_from
+
+    all_ = [t for t in texts(8) if len(t) < 500]
+    for a in all_:
+        for b in all_[::3]:
+            ratio = SequenceMatcher(None, a, b).ratio()
+            assert ratio_from(SequenceMatcher(None, a, b), 0.6) == (ratio if ratio >= 0.6 else None)
