@@ -272,3 +272,10 @@ def test_recall_of_the_approximate_search(spark, sf):
     got = [r.vec_id for r in vector.approximate_top_k(indexed, centres, x[0].tolist(), 10).collect()]
     want = [r.vec_id for r in vector.top_k(rows, x[0].tolist(), 10).collect()]
     assert len(set(got) & set(want)) >= 8 and got[0] == want[0]
+
+
+def test_duplicate_check_is_dealt_out_and_compares_once(spark):
+    from millrace.plans import queries
+
+    plan = queries.QUERIES["duplicate_check"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("alike(") == 1 and "RepartitionByExpression" in plan
