@@ -23,6 +23,8 @@ from ..functions import fixed, text
 _PAGE = re.compile(fixed.PAGE_MARKER)
 _SEPARATOR = re.compile(fixed.ERRATA_SEPARATOR)
 _QUESTION = re.compile(r"^\s*(Q\.|A\.)")
+#: Documents whose texts and chunks a task holds as Python objects at once.
+FOLDED_ROWS = 128
 
 
 @dataclass
@@ -243,13 +245,14 @@ def folded(docs: DataFrame, profile: dict | None = None) -> DataFrame:
     def run(batches):
         made: dict[str, Chunker] = {}
         for batch in batches:
-            rows = []
-            for source, whole, kind, priority in zip(*(c.to_pylist() for c in batch.columns)):
-                if whole is not None:
-                    if kind not in made:
-                        made[kind] = chunker_for(kind, profile)
-                    rows += [(source, kind, priority, k, *c) for k, c in enumerate(fold(made[kind], whole))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(arrow), arrow)], schema=arrow)
+            for lo in range(0, batch.num_rows, FOLDED_ROWS):
+                rows = []
+                for source, whole, kind, priority in zip(*(c.to_pylist() for c in batch.slice(lo, FOLDED_ROWS).columns)):
+                    if whole is not None:
+                        if kind not in made:
+                            made[kind] = chunker_for(kind, profile)
+                        rows += [(source, kind, priority, k, *c) for k, c in enumerate(fold(made[kind], whole))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(arrow), arrow)], schema=arrow)
 
     return docs.select("source_file", "text", "doc_type", F.col("priority").cast("int")).mapInArrow(run, schema)
 

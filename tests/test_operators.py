@@ -274,6 +274,26 @@ def test_recall_of_the_approximate_search(spark, sf):
     assert len(set(got) & set(want)) >= 8 and got[0] == want[0]
 
 
+def test_folded_holds_a_few_documents_at_once(spark):
+    """The chunks of a large batch come out in small ones, all of them in order."""
+    import pyarrow as pa
+
+    from millrace.operators import chunking
+
+    class Rows:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            n = 3 * chunking.FOLDED_ROWS + 1
+            texts = [None if k == 5 else f"1.{k} " + "some words to read\n" * (k % 7) + "and an end of fifty characters or so, to be a chunk" for k in range(n)]
+            return list(run([pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(n)]), pa.array(texts), pa.array(["unknown"] * n), pa.array([1] * n, pa.int32())], names=["source_file", "text", "doc_type", "priority"])]))
+
+    found = chunking.folded(Rows())
+    assert len(found) == 4 and all(len(set(b.column(0).to_pylist())) <= chunking.FOLDED_ROWS for b in found)
+    assert [x for b in found for x in b.column(0).to_pylist()] == [str(k) for k in range(3 * chunking.FOLDED_ROWS + 1) if k != 5]
+
+
 def test_duplicate_check_is_dealt_out_and_compares_once(spark):
     from millrace.plans import queries
 
