@@ -78,6 +78,18 @@ def test_byte_strings(spark, length, monkeypatch):
     assert sorted(map(tuple, got), key=str) == sorted(bytes_removed(rows, length), key=str)
 
 
+@pytest.mark.parametrize(("size", "goes"), [(360, 0), (399, 0), (400, 400), (900, 900)])
+def test_a_planted_passage_goes_from_all_its_documents_if_it_has_400_bytes(spark, size, goes):
+    r = random.Random(size)
+    prose = lambda n: " ".join("".join(r.choices("abcdefghij", k=r.randint(2, 7))) for _ in range(n))
+    passage = prose(300)[: size - 1] + "."
+    assert len(WORD.findall(passage)) > 50
+    rows = [(1, f"{prose(200)}\n{passage}\t{prose(200)}"), (2, prose(400)), (3, f"{prose(100)} {passage} {prose(300)}"), (4, passage[:-1]), (5, prose(400))]
+    got = sorted(map(tuple, suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted(bytes_removed(rows, 400))
+    assert [x[2] for x in got] == [goes, 0, goes, max(0, size - 1) if goes > 400 else 0, 0]
+
+
 @pytest.mark.parametrize("tasks", [2, 1 << 16])
 def test_bundled_rows_give_the_same(spark, tasks, monkeypatch):
     monkeypatch.setattr(exchange, "BUNDLED_FROM", 1)
