@@ -115,3 +115,54 @@ def test_ratio_from_is_the_ratio():
         for b in all_[::3]:
             ratio = SequenceMatcher(None, a, b).ratio()
             assert ratio_from(SequenceMatcher(None, a, b), 0.6) == (ratio if ratio >= 0.6 else None)
+
+
+def test_ratio_of_is_the_ratio(monkeypatch):
+    """The ratio from runs that are looked up once, also of long texts, without the matcher's walk over all characters."""
+    r = random.Random(12)
+    all_ = [t for t in texts(11) if len(t) < 500]
+    pairs = [(a, b) for a in all_ for b in all_[::3]]
+    for k in range(24):
+        base = words(r, r.randrange(200, 3000))
+        other = edited(r, base, k * 4)
+        pairs.append((base, other if k % 3 else other[len(other) // 3 :] + other[: len(other) // 3]))
+    want = [SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+    monkeypatch.setattr(similar, "SequenceMatcher", None)
+    for (a, b), ratio in zip(pairs, want):
+        for threshold in (0.0, 0.9):
+            assert similar.ratio_of(similar.Spelled(a), similar.Spelled(b), threshold) == (ratio if ratio >= threshold else None), (a, b)
+
+
+def test_pairs_of_too_many_places_are_compared_all_the_same(monkeypatch):
+    monkeypatch.setattr(similar, "MOST_SPOTS", 10)
+    a, b = "abcd" * 30, "abdc" * 30
+    assert similar.ratio_of(similar.Spelled(a), similar.Spelled(b), 0.1) == SequenceMatcher(None, a, b).ratio()
+
+
+def test_pieces_left_open_lose_nothing():
+    """Queries that share most pieces with each other, so that each leaves a tenth of its places open."""
+    r = random.Random(13)
+    base = words(r, 900)
+    all_ = [edited(r, base, k) for k in range(40)] + [words(r, 900) for _ in range(20)]
+    block = similar.Block([(str(k), t) for k, t in enumerate(all_)])
+    assert block.open.max() > 5
+    for b in all_:
+        got = set(block.candidates(similar.pieces(similar.codes_of(b), similar.PIECE), block.flags(), len(b), similar.most_blocks(b), lambda b=b: similar.counted(b)[0], 0.9).tolist())
+        assert {j for j, a in enumerate(block.bodies) if SequenceMatcher(None, a, b).ratio() >= 0.9} <= got
+
+
+def test_texts_are_worked_out_once(spark):
+    """The expression that makes a text, which may be costly, runs once a row and not again for each use of the text."""
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def made(key):
+        seen.add(1)
+        return f"a text of some words with the number {key % 10}"
+
+    made_texts = spark.range(60).select(F.col("id").alias("key"), made("id").alias("text"))
+    asked = spark.createDataFrame([(1, "a text of some words with the number 3")], "query_id long, text string")
+    assert similar.near_texts(asked, made_texts).count() == 60
+    assert seen.value == 60
